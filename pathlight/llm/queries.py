@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pathlight.llm import bpe
+from pathlight.llm import bpe, chat, mixing, quality
 
 QUERIES = {
     "op5_bpe": bpe.op5_bpe,
+    "op8_quality": quality.op8_quality,
+    "op9_chat": chat.op9_chat,
+    "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality": quality.ORACLE_SQL,
+    "op9_chat": chat.ORACLE_SQL,
+    "op10_mixing": mixing.ORACLE_SQL,
+}
