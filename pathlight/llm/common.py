@@ -133,7 +133,11 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED) -> t
     opens[left] = inside[left]
     closes[right] = inside[right]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    first = np.searchsorted(starts, offsets)
+    return np.searchsorted(starts, offsets), span_hashes(data, starts, ends), starts, ends
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = _CODES) -> np.ndarray:
+    """A hash of each stretch of bytes; both ends ascend. Equal bytes hash alike wherever they stand."""
     hashes = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -142,11 +146,11 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED) -> t
         high = int(ends[to - 1])
         up, down = _power_tables(high - low + 1)
         total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_CODES[data[low:high]] * up[: high - low], out=total[1:])
+        np.cumsum(codes[data[low:high]] * up[: high - low], out=total[1:])
         s, e = starts[at:to] - low, ends[at:to] - low
         hashes[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
         at = to
-    return first, hashes, starts, ends
+    return hashes
 
 
 def rolling(first: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
