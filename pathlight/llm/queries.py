@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pathlight.llm import bpe, chat, mixing, quality
+from pathlight.llm import bpe, chat, licenses, mixing, pii, quality, toxicity
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
+    "op6_pii": pii.op6_pii,
     "op8_quality": quality.op8_quality,
     "op9_chat": chat.op9_chat,
     "op10_mixing": mixing.op10_mixing,
