@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathlight.llm import bpe, chat, licenses, mixing, ngram_join, pii, quality, toxicity
+from pathlight.llm import bpe, chat, katz, licenses, mixing, ngram_join, pii, quality, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
     "op6_pii": pii.op6_pii,
+    "op7_katz": katz.op7_katz,
     "op8_quality": quality.op8_quality,
     "op9_chat": chat.op9_chat,
     "op10_mixing": mixing.op10_mixing,
