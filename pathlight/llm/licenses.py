@@ -132,7 +132,7 @@ def window_rows(docs: DataFrame, templates: list[Template]) -> DataFrame:
                 order = np.argsort(row, kind="stable")
                 ends = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
                 hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(k[order], pa.int32()), pa.array(pos[order], pa.int64()), pa.array(value[order], pa.int64())], ["k", "pos", "hash"]))
-                text = pa.compute.if_else(pa.array(np.diff(ends) > 0), batch.column("text"), pa.scalar(None, pa.string()))
+                text = batch.column("text").take(pa.array(np.arange(batch.num_rows), mask=np.diff(ends) == 0))
                 yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(np.diff(first), pa.int64()), text, hits], ["uid", "doc_id", "n_words", "text", "hits"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
