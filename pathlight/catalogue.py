@@ -529,3 +529,167 @@ def l12_em_5_iterations(spark, d):
 
     net = network(spark, d, "region")
     return E.em_steps(cut(net.routing), cut(net.observed), cut(net.links), 5).select("link_id", F.round("x", 6).alias("x"))
+
+
+# --- JSON round trips: traces written in each layout and read back
+
+
+def _written(spark, d, one, wrap) -> DataFrame:
+    """meas_idx and value: the JSON text of each trace; `one` is a hop, `wrap` the document around the hops in order."""
+    rows = S.hops(spark, d).groupBy("meas_idx").agg(F.sort_array(F.collect_list(F.struct("pos", one))).alias("_h"))
+    return rows.select("meas_idx", F.to_json(wrap(F.transform("_h", lambda x: x["h"]))).alias("value"))
+
+
+HOPS_BACK = "SELECT meas_idx, pos, CAST(ttl AS BIGINT) AS ttl, CASE WHEN anonymous THEN '' ELSE ip END AS ip, CASE WHEN anonymous THEN 0 ELSE rtt_ns END AS rtt_ns, anonymous, mpls AND NOT anonymous AS mpls FROM hops"
+
+
+@query(f"WITH {HOPS_SQL} {HOPS_BACK}")
+def s05_json_traces(spark, d):
+    from pathlight.sources import traces_json as J
+
+    ext = F.when(F.col("mpls"), F.struct(F.array(F.struct(F.array(F.struct(F.lit(16).alias("label"))).alias("mpls"))).alias("obj")))
+    reply = F.when(F.col("anonymous"), F.struct(F.lit("*").alias("x"), F.lit(None).cast("string").alias("from"), F.lit(None).cast("double").alias("rtt"), F.lit(None).cast(ext_type()).alias("icmpext")))
+    reply = reply.otherwise(F.struct(F.lit(None).cast("string").alias("x"), F.col("ip").alias("from"), (F.col("rtt_ns") / 1e6).alias("rtt"), ext.alias("icmpext")))
+    hop = F.struct(F.col("ttl").cast("int").alias("hop"), F.array(reply).alias("result")).alias("h")
+    texts = _written(spark, d, hop, lambda h: F.array(F.struct(F.lit("traceroute").alias("type"), F.lit("a").alias("src_addr"), F.lit("b").alias("dst_addr"), h.alias("result"))))
+    return J.exploded_hops(J.ripe(texts))
+
+
+def ext_type() -> str:
+    return "struct<obj:array<struct<mpls:array<struct<label:int>>>>>"
+
+
+@query(f"WITH {HOPS_SQL} SELECT meas_idx, pos, CAST(ttl AS BIGINT) AS ttl, CASE WHEN anonymous THEN '' ELSE ip END AS ip, rtt_ns, anonymous, mpls FROM hops")
+def s06_scamper_traces(spark, d):
+    from pathlight.sources import traces_json as J
+
+    ext = F.when(F.col("mpls"), F.struct(F.array(F.struct(F.lit(16).alias("label"))).alias("mpls")))
+    hop = F.struct(F.when(F.col("anonymous"), "").otherwise(F.col("ip")).alias("addr"), F.col("ttl").cast("int").alias("probe_ttl"), (F.col("rtt_ns") / 1e3).alias("rtt"), ext.alias("icmpext")).alias("h")
+    texts = _written(spark, d, hop, lambda h: F.struct(F.lit("trace").alias("type"), F.lit("a").alias("src"), F.lit("b").alias("dst"), h.alias("hops")))
+    return J.exploded_hops(J.scamper(texts))
+
+
+@query(f"WITH {HOPS_SQL} SELECT meas_idx, pos, pos + 1 AS ttl, CASE WHEN anonymous THEN '' ELSE ip END AS ip, rtt_ns, anonymous, FALSE AS mpls FROM hops")
+def s08_mtr_reports(spark, d):
+    from pathlight.sources import traces_json as J
+
+    ms = F.col("rtt_ns") / 1e6
+    hop = F.struct(F.when(F.col("anonymous"), "???").otherwise(F.col("ip")).alias("host"), ms.alias("Best"), ms.alias("Avg"), ms.alias("Wrst")).alias("h")
+    texts = _written(spark, d, hop, lambda h: F.struct(F.struct(F.struct(F.lit("a").alias("src"), F.lit("b").alias("dst")).alias("mtr"), h.alias("hubs")).alias("report")))
+    return J.exploded_hops(J.mtr(texts))
+
+
+@query("SELECT user_id AS src, event_type AS dst, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, CAST(count(*) AS BIGINT) AS n, CAST(min(trunc(value * 1e6)) AS BIGINT) AS least_ns FROM events GROUP BY 1, 2, 3")
+def x01_hourly_least_rtt(spark, d):
+    from pathlight.streaming import rolling
+
+    return rolling.least_by_window(S.latencies(spark, d)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+# --- solvers, on the AS network unless they need less
+
+
+def _solver(name: str, method: str) -> None:
+    def run(spark, d):
+        from pathlight.plans import solve
+
+        return solve.solution_rows(solve.settled(network(spark, d, "region")), method)
+
+    run.__name__ = name
+    query()(run)
+
+
+for _name, _method in (("l04_tsvd", "tsvd"), ("l05_tikhonov", "tikhonov"), ("l08_nnls", "nnls"), ("l09_admm", "admm"), ("l11_irl1", "irl1"), ("l12_vardi_em", "vardi-em"), ("l14_laplacian", "laplacian")):
+    _solver(_name, _method)
+
+
+def path_rows(spark, d, level: str = "region") -> tuple[DataFrame, I.Network]:
+    from pathlight.plans import solve
+
+    net = solve.settled(network(spark, d, level))
+    return solve.rows_of(net.routing, net.observed), net
+
+
+@query()
+def l13_tomogravity(spark, d):
+    from pathlight.plans import solve
+
+    net = solve.settled(network(spark, d, "region"))
+    some = net.routing.select("path_id").distinct()
+    held = I.Network(net.nodes, net.links, net.paths.join(some, "path_id", "left_semi"), net.routing, net.observed.join(some, "path_id", "left_semi"))
+    return solve.solution_rows(held, "tomogravity")
+
+
+@query()
+def l01_quality(spark, d):
+    from pathlight.plans import solve, solvers
+
+    s = solve.system_of(solve.settled(network(spark, d, "as")), False)
+    q = solvers.audit(s.r, s.m)
+    return spark.createDataFrame([(q.rank, q.n, q.m, q.condition, q.identifiable_share, q.unidentifiable, q.singular)], "rank int, n_links int, n_paths int, condition double, identifiable_share double, unidentifiable array<int>, singular array<double>")
+
+
+@query()
+def l06_gcv_grid(spark, d):
+    from pathlight.plans import solve, solvers
+
+    s = solve.system_of(solve.settled(network(spark, d, "region")), False)
+    lam, score = solvers.gcv_curve(s.svd[0], s.svd[1], s.m)
+    return spark.createDataFrame([(float(a), float(b)) for a, b in zip(lam, score, strict=True)], "lambda double, score double")
+
+
+@query()
+def l15_bootstrap(spark, d):
+    from pathlight.plans import uncertainty
+
+    rows, net = path_rows(spark, d)
+    return uncertainty.bootstrap(rows, net.links.count(), "nnls", 20)
+
+
+@query()
+def l16_conformal(spark, d):
+    from pathlight.plans import uncertainty
+
+    rows, net = path_rows(spark, d)
+    return uncertainty.conformal(rows, net.links.count(), "nnls")
+
+
+@query()
+def l18_probe_plan(spark, d):
+    from pathlight.plans import design
+
+    rows, net = path_rows(spark, d)
+    return design.running_rank(design.recommend(rows.filter("path_id % 500 = 1"), rows.filter("path_id % 500 <> 1"), net.links.count(), 10))
+
+
+@query()
+def l19_benchmark(spark, d):
+    from pathlight.plans import design, solve, simulate
+
+    _, net = path_rows(spark, d)
+    truth = net.links.select("link_id", (1 + ((F.col("lo") * 7 + F.col("hi") * 13) % 20) / 2.0).alias("x"))
+    cfg = simulate.SimConfig()
+    seen = simulate.observe(E.path_sums(net.routing, simulate.congest(truth, cfg)), cfg)
+    near = [(int(r["a"]), int(r["b"])) for r in G.link_adjacency(net.links).collect()]
+    known = simulate.congest(truth, cfg).select("link_id", F.col("x").alias("truth"))
+    return design.table(design.benchmark(solve.rows_of(net.routing, seen), known, net.links.count(), near=near))
+
+
+@query()
+def s20_preferential_attachment(spark, d):
+    from pathlight.sources import synthetic
+
+    return synthetic.barabasi_albert(spark, [("ba-30", 30, 2, 1), ("ba-50", 50, 3, 2)])
+
+
+@query()
+def s21_waxman(spark, d):
+    from pathlight.sources import synthetic
+
+    return synthetic.waxman(spark, 50, 0.4, 0.3, 7)[1]
+
+
+@query()
+def k03_json_document(spark, d):
+    rows = report_rows(spark, d)
+    return _sinks().json_document(rows, "gravity", 0.0, {"rank": 276, "num_links": 276, "condition_number": float("inf"), "identifiable_pct": 100.0})

@@ -83,4 +83,4 @@ def waxman(spark: SparkSession, n: int, alpha: float, beta: float, seed: int) ->
 
     # a topology is one graph of a size that a task holds, as everything that is solved densely
     seedling = spark.range(1).select(F.lit(-1).cast("bigint").alias("i"), F.lit(-1).cast("bigint").alias("src"), F.lit(-1).cast("bigint").alias("dst"))
-    return nodes, drawn.unionByName(seedling).groupBy(F.lit(0)).applyInPandas(repair, "i bigint, src bigint, dst bigint")
+    return nodes, drawn.unionByName(seedling).groupBy().applyInPandas(repair, "i bigint, src bigint, dst bigint")
