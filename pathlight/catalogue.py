@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathlight.functions import scalar
@@ -34,7 +34,10 @@ def query(sql: str | None = None, level: str | None = None):
     return add
 
 
-LABELS = {"ip": None, "as": F.when(F.col("asn") != 0, F.col("asn")), "region": F.when(F.col("asn") != 0, F.col("asn") % 5)}
+def label(level: str) -> Column | None:
+    """What a hop is called in a network; the unresolved number 0 has no name."""
+    asn = F.col("asn") if level != "ip" else None
+    return None if asn is None else F.when(asn != 0, asn if level == "as" else asn % 5)
 
 
 def hops_at(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
@@ -43,7 +46,7 @@ def hops_at(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
 
 
 def network(spark: SparkSession, sf_dir: str, level: str) -> I.Network:
-    return I.infer(hops_at(spark, sf_dir, level), LABELS[level])
+    return I.infer(hops_at(spark, sf_dir, level), label(level))
 
 
 HOPS_SQL = """hops AS (SELECT l_orderkey AS meas_idx,
@@ -371,7 +374,7 @@ def g09_as_graph(spark, d):
 
 @query("SELECT meas_idx, pos, label AS asn FROM seen", "as")
 def w04_collapsed_asns(spark, d):
-    return I.collapsed(I.visible(I.accepted(hops_at(spark, d, "as"))), LABELS["as"]).select("meas_idx", "pos", F.col("label").alias("asn"))
+    return I.collapsed(I.visible(I.accepted(hops_at(spark, d, "as"))), label("as")).select("meas_idx", "pos", F.col("label").alias("asn"))
 
 
 ADJ_SQL = ", e AS (SELECT link_id, src AS v FROM links UNION ALL SELECT link_id, dst FROM links), adj AS (SELECT DISTINCT a.link_id AS a, b.link_id AS b FROM e a JOIN e b USING (v) WHERE a.link_id <> b.link_id)"
