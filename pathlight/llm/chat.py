@@ -127,13 +127,17 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     return turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.col("_x.role").alias("role"), F.col("_x.text").alias("text"))
 
 
+def _under(prefix: str, keys: Column) -> Column:
+    return F.transform(keys, lambda x: F.concat(F.lit(prefix), x))
+
+
 def json_fingerprint(line: Column) -> Column:
     """The fingerprint of one JSON object's nested field paths."""
     paths = F.coalesce(F.json_object_keys(line), F.array().cast("array<string>"))
     for m in MAPPINGS:
         if m.array:
             inner = F.json_object_keys(F.get_json_object(line, f"$.{m.array}[0]"))
-            paths = F.concat(paths, F.coalesce(F.transform(inner, lambda x, at=m.array: F.concat(F.lit(f"{at}[]."), x)), F.array().cast("array<string>")))
+            paths = F.concat(paths, F.coalesce(_under(f"{m.array}[].", inner), F.array().cast("array<string>")))
     kept = F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, PATHS))))
     return F.sha2(F.array_join(kept, "\n"), 256)
 
