@@ -56,7 +56,7 @@ def targets(sized: DataFrame) -> DataFrame:
     )
     level = (F.col("_total") - F.col("_capped")) / F.col("_left")
     per = per.withColumn("_level", F.when(F.col("cap") > F.col("weight") * level, level))
-    per = per.withColumn("_level", F.min("_level").over(whole))
+    per = per.withColumn("_level", F.max("_level").over(whole))  # levels rise up to the right one and fall after it
     return per.select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * F.col("_level")), F.col("cap")).alias("target"))
 
 
@@ -120,7 +120,7 @@ w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 +
 a AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS capped,
              sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS rest,
              CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM w),
-l AS (SELECT *, min(CASE WHEN cap > weight * ((total - capped) / rest) THEN (total - capped) / rest END) OVER () AS level FROM a),
+l AS (SELECT *, max(CASE WHEN cap > weight * ((total - capped) / rest) THEN (total - capped) / rest END) OVER () AS level FROM a),
 t AS (SELECT source, source_size, coalesce(least(cap, weight * level), cap) AS target FROM l),
 c AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS copies FROM t),
 h AS (SELECT source, h, sum(size) AS size, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h),
