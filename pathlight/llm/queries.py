@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pathlight.llm import bpe, chat, katz, licenses, mixing, ngram_join, pii, quality, toxicity
+from pathlight.llm import bpe, chat, katz, licenses, media, mixing, ngram_join, pii, quality, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op2_media": media.op2_media,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
