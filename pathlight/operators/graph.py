@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathlight.functions import scalar
+from pathlight.operators import infer
 from pathlight.operators.infer import numbered
 from pathlight.plans.lineage import cut
 
@@ -109,3 +110,20 @@ def laplacian(links: DataFrame) -> DataFrame:
 def pairs_in_order(nodes: DataFrame) -> DataFrame:
     """All pairs i < j of node_id: a stated theta join over nodes, never over data rows."""
     return nodes.select(F.col("node_id").alias("i")).join(nodes.select(F.col("node_id").alias("j")), F.col("i") < F.col("j"))
+
+
+def infer_network(hops: DataFrame, traces: DataFrame | None = None, most: float | None = None, one_per_pair: bool = False, merge_aliases: bool = False) -> infer.Network:
+    """Inference with its options. most: None stands for the default. one_per_pair keeps, of the traces of a pair, the one with the fewest anonymous hops; merge_aliases names each hop by its alias's representative, so that links and paths agree."""
+    most = infer.MAX_ANONYMOUS if most is None else most
+    if not 0 <= most <= 1:
+        raise ValueError("the share of anonymous hops must be between 0 and 1")
+    if one_per_pair:
+        if traces is None:
+            raise ValueError("choosing one trace per pair needs the traces' ends")
+        hops = hops.join(infer.one_per_pair(infer.distinct_sequences(hops, traces)).select("meas_idx"), "meas_idx", "left_semi")
+    found = infer.infer(hops, most=most)
+    if not merge_aliases:
+        return found
+    named = aliases(found.nodes, found.links).select(F.col("label").alias("_ip"), "rep")
+    rows = hops.join(named, hops["ip"] == named["_ip"], "left").drop("_ip")
+    return infer.infer(rows, F.coalesce("rep", "ip"), most)

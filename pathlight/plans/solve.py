@@ -80,6 +80,16 @@ def from_triangle(t: np.ndarray, m: int, coverage: np.ndarray, near: list[tuple[
     return solvers.System(t[:k, :n], t[:k, n], float((t[k:, n] ** 2).sum()), m, coverage, near)
 
 
+def guard(net: Network) -> None:
+    """Raises where there is no problem to solve: no paths, no links, or a matrix that names links that there are not."""
+    if net.paths.isEmpty():
+        raise ValueError("there are no paths")
+    if net.links.isEmpty():
+        raise ValueError("there are no links")
+    if not net.routing.join(net.links.select("link_id"), "link_id", "left_anti").isEmpty():
+        raise ValueError("a path takes a link that is not in the network")
+
+
 def settled(net: Network) -> Network:
     return Network(*(cut(x) for x in (net.nodes, net.links, net.paths, net.routing, net.observed)))
 
@@ -87,6 +97,7 @@ def settled(net: Network) -> Network:
 def solve(net: Network, method: str) -> tuple[solvers.Solution, solvers.System | None]:
     """One method on one network."""
     method = solvers.solver_name(method)
+    guard(net)
     if method == "vardi-em":
         rows = rows_of(net.routing, net.observed).orderBy("path_id").toPandas()
         return solvers.em(list(rows["links"]), rows["b"].to_numpy(), net.links.count()), None

@@ -6,7 +6,9 @@ and missing numbers and strings read as 0 and empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pathlight import schemas
@@ -106,3 +108,8 @@ def exploded_hops(measurements: DataFrame) -> DataFrame:
 def least_rtt(rtts_ns: Column) -> Column:
     """The least sample in ns; 0 where there is none."""
     return F.coalesce(F.array_min(rtts_ns), F.lit(0).cast("bigint"))
+
+
+def each(measurements: DataFrame) -> Iterator[Row]:
+    """The measurements one at a time, a partition in memory at once."""
+    return measurements.toLocalIterator()

@@ -119,3 +119,23 @@ def test_collapsing_skips_unresolved_hops(spark):
 def test_retry_header(spark, header, seconds):
     c = F.lit(header).cast("string")
     assert spark.range(1).select(scalar.retry_after_seconds(c)).collect()[0][0] == seconds
+
+
+def test_inference_options(spark):
+    h = hops(spark, ["10.0.0.0", "*", "10.0.0.9"], ["10.0.0.0", "10.0.0.5", "10.0.0.9"], ["10.0.0.3", "10.0.0.17"])
+    t = spark.createDataFrame([(0, "s", "d"), (1, "s", "d"), (2, "q", "d")], "meas_idx bigint, src string, dst string")
+    assert shape(G.infer_network(h, most=0.5)) == (5, 4, 3)
+    assert shape(G.infer_network(h, t, 0.5, one_per_pair=True)) == (5, 3, 2)
+    merged = G.infer_network(h, t, 0.5, one_per_pair=True, merge_aliases=True)
+    assert shape(merged) == (4, 3, 2) and merged.routing.count() == 3
+    with pytest.raises(ValueError):
+        G.infer_network(h, most=1.5)
+
+
+def test_guards(spark):
+    from pathlight.plans import solve
+
+    with pytest.raises(ValueError, match="paths"):
+        solve.guard(I.infer(hops(spark, ["A"])))
+    with pytest.raises(ValueError, match="links"):
+        solve.guard(I.infer(hops(spark, ["A", "A"])))

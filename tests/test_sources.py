@@ -126,7 +126,7 @@ def test_synthetic(spark):
 def rows(spark):
     truth = [5.0, 3.0, 7.0]
     paths = [[0], [1], [2], [0, 1], [1, 2], [0, 2], [0, 1, 2], []]
-    return spark.createDataFrame([(i, sum(truth[k] for k in p), p) for i, p in enumerate(paths)], "path_id bigint, b double, links array<int>")
+    return spark.createDataFrame([(i, float(sum(truth[k] for k in p)), p) for i, p in enumerate(paths)], "path_id bigint, b double, links array<int>")
 
 
 def test_triangles_and_solutions(spark):
