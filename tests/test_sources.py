@@ -145,7 +145,9 @@ def test_uncertainty_and_plans(spark):
     w = uncertainty.bootstrap(rows(spark), 3, "nnls", 10).collect()
     assert len(w) == 3 and all(r.half_width >= 0 for r in w)
     c = uncertainty.conformal(rows(spark), 3, "nnls").collect()
-    assert len(c) == 3 and any(r.confidence == float("inf") for r in c)
+    assert len(c) == 3 and all(r.confidence >= 0 for r in c)
+    alone = uncertainty.conformal(rows(spark).filter("path_id = 0"), 3, "nnls").collect()
+    assert all(r.confidence == float("inf") for r in alone)
     plan = design.recommend(rows(spark).limit(0), rows(spark), 3, 10).orderBy("step").collect()
     assert [r.path_id for r in plan] == [0, 1, 2] and plan[-1]["rank"] == 3
     truth = spark.createDataFrame([(0, 5.0), (1, 3.0), (2, 7.0)], "link_id bigint, truth double")
