@@ -50,6 +50,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """materialize, for steps with large shuffles: the driver's JVM is asked to collect, upon which Spark drops the shuffle files of the step at once rather than at some later time."""
+    out = materialize(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

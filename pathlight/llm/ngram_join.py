@@ -9,7 +9,8 @@ of shingles, frequent ones last, serves twice:
   meet each other, so a group of m near copies costs m pairs, not m squared. The place of
   a shared shingle in both sets bounds their overlap, which drops most other pairs.
 - Overlaps: the order's hash range is cut into FRAGMENTS. Partial overlaps of a pair are
-  counted fragment by fragment and summed per pair, so long texts are dealt out too.
+  counted fragment by fragment and summed per pair, so long texts are dealt out too. The
+  first fragment alone bounds the sum, and most false pairs end there.
 
 The result is exact: hubs and bounds only spare work. Equal sets are one class from the
 start, found by a 64-bit fingerprint of the set. Frequencies come from a sketch of fixed
@@ -27,10 +28,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlight.llm.common import bytes_of, documents, materialize, mix, rolling, slices, text_or_empty, words
+from pathlight.llm.common import bytes_of, documents, materialize, mix, rolling, settle, slices, text_or_empty, words
 
 K = 5
 #: Least similarity in percent.
@@ -38,9 +39,15 @@ LEAST = 75
 #: Parts that the hash range is cut into; a power of two.
 FRAGMENTS = 4
 #: Counters of the frequency sketch, bits of the filter of candidates, and rows that these are cut into.
-SKETCH, FILTER, CUTS = 1 << 20, 1 << 26, 64
+SKETCH, FILTER, CUTS = 1 << 22, 1 << 24, 64
+#: Shingles that a task counts into its sketch at once; a task's counters stop at 255.
+COUNTED = 4_000_000
+#: Sets that begin with a shingle, up to which all its pairs are formed; beyond it they are compared in blocks of so many.
+FEW, IN_BLOCK = 64, 512
+#: Shingles that a comparison of blocks counts at once.
+STRETCH = 8_192
 #: Hubs that a group of near copies meets.
-HUBS = 8
+HUBS = 4
 #: Fingerprints that a task remembers so as not to repeat the rows of exact copies.
 REMEMBERED = 1_000_000
 
@@ -80,21 +87,28 @@ def members_and_sketch(docs: DataFrame) -> DataFrame:
     """A row for each document (doc_id, n, sid), and after them the rows (cut, salt, counts) of each task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, some = np.zeros(SKETCH, np.int64), 0
+        sketch, some, held = np.zeros(SKETCH, np.uint8), 0, []
+
+        def count() -> None:
+            now = np.bincount((np.concatenate(held) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            sketch[:] = np.minimum(sketch + np.minimum(now, 255).astype(np.uint16), 255)
+            held.clear()
+
         for whole in batches:
             for batch in slices(whole):
                 n, sid = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64)
-                every = []
                 for row, h in sets_of(batch):
                     n[row], sid[row] = len(h), fingerprint(h)
-                    every.append(h)
-                if every:
-                    sketch += np.bincount((np.concatenate(every) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                    some = some or int(sid[n > 0][0])
+                    held.append(h)
+                    some = some or int(sid[row])
+                if sum(map(len, held)) >= COUNTED:
+                    count()
                 none = pa.nulls(batch.num_rows)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sid, mask=n == 0), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_MEMBERS)
         if some:
-            yield cut_rows(sketch.astype(np.uint32), some % 256, _MEMBERS)
+            if held:
+                count()
+            yield cut_rows(sketch, some % 256, _MEMBERS)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, MEMBERS)
 
@@ -105,13 +119,15 @@ def cut_rows(values: np.ndarray, salt: int, schema: pa.Schema) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(CUTS).cast(f.type)) for f in schema], schema=schema)
 
 
-def combined(rows: DataFrame, kind: type, how: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The tasks' arrays of fixed size as one: first within each salt, then over all. Only the sum comes to the driver."""
+def combined(rows: DataFrame, small: type, kind: type, how: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The tasks' arrays of fixed size and type `small` as one of type `kind`: first within each salt, then over all. Only that one comes to the driver."""
+    length = SKETCH // CUTS if how is np.add else FILTER // 8 // CUTS
 
     def run(table: pa.Table) -> pa.Table:
         out = None
         for x in table.column("counts"):
-            a = np.frombuffer(x.as_py(), kind)
+            raw = x.as_py()
+            a = np.frombuffer(raw, small if len(raw) == length * np.dtype(small).itemsize else kind).astype(kind)
             out = a if out is None else how(out, a)
         return pa.table({"cut": table.column("cut")[:1], "salt": table.column("salt")[:1], "counts": pa.array([out.tobytes()], pa.binary())})
 
@@ -126,8 +142,11 @@ def frequency_classes(sketch: np.ndarray) -> np.ndarray:
     if not len(sketch):
         return np.zeros(SKETCH, np.uint8)
     noise = float(sketch.mean())
-    excess = sketch - (noise + 6 * noise**0.5 + 4)
-    return np.where(excess > 0, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8)
+    least = noise + 6 * noise**0.5 + 4
+    out = np.zeros(len(sketch), np.uint8)
+    for octave in range(40):
+        out[sketch > least + 2**octave] = octave + 1
+    return out
 
 
 def first_shingles(docs: DataFrame, classes: np.ndarray) -> DataFrame:
@@ -162,10 +181,11 @@ BUCKETS = "token bigint, hub bigint, hub_n int, hub_pos int, sid bigint, n int,
 
 
 def buckets(tokens: DataFrame) -> DataFrame:
-    """Rows of the shingles that two sets or more begin with, each beside the shingle's hub. Reads sorted rows as they come and holds one."""
+    """The rows of shingles that two sets or more begin with, each beside the shingle's hub. Reads sorted rows as they come and holds one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # token, sid, hub, hub_n, hub_pos
+        last: tuple | None = None  # token, sid, hub, hub_n, hub_pos of the row before
+        sent = None  # the last shingle whose hub has been written
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -180,10 +200,20 @@ def buckets(tokens: DataFrame) -> DataFrame:
             hub, hub_n, hub_pos = sid[at], n[at], pos[at]
             if (carried := at < 0).any():
                 hub, hub_n, hub_pos = np.where(carried, last[2], hub), np.where(carried, last[3], hub_n), np.where(carried, last[4], hub_pos)
-            keep = ~new & ~same
+            keep = np.flatnonzero(~new & ~same)
             last = (token[-1], sid[-1], hub[-1], hub_n[-1], hub_pos[-1])
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(t)) for x, t in ((token, np.int64), (hub, np.int64), (hub_n, np.int32), (hub_pos, np.int32), (sid, np.int64), (n, np.int32), (pos, np.int32))], [f.split()[0] for f in BUCKETS.split(", ")])
+            if not len(keep):
+                continue
+            second = np.ones(len(keep), bool)
+            second[1:] = token[keep[1:]] != token[keep[:-1]]
+            second[0] = sent is None or token[keep[0]] != sent
+            sent = token[keep[-1]]
+            first = keep[second]
+            rows = np.concatenate([keep, first])
+            of = lambda own, hubs: np.concatenate([own[keep], hubs[first]])
+            columns = (token[rows], hub[rows], hub_n[rows], hub_pos[rows], of(sid, hub), of(n, hub_n), of(pos, hub_pos))
+            kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int32, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in BUCKETS.split(", ")])
 
     by = F.xxhash64(F.col("sid"), F.pmod(F.col("token"), F.lit(HUBS)))
     return tokens.repartition("token").sortWithinPartitions("token", by, "sid").mapInArrow(run, BUCKETS)
@@ -197,60 +227,83 @@ def may_link(n: str, pos: str, m: str, qos: str):
     return fits & (100 * most >= LEAST * (n + m - most))
 
 
-def shingle_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(sid, fragment, hashes) of the sets that the filter of candidates lets through."""
+def shingle_sets(docs: DataFrame, wanted: np.ndarray, fragments: list[int]) -> DataFrame:
+    """(sid, fragment, hashes) of the documents that the filter of candidates lets through."""
+    edges = np.arange(FRAGMENTS + 1, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for whole in batches:
-            for batch in slices(whole):
-                sids, fragments, parts = [], [], []
+            at, bit = filter_bits(whole.column("doc_id").to_numpy())
+            for batch in slices(whole.filter(pa.array(wanted[at] >> bit & 1 > 0))):
+                rows, parts = [], []
                 for _, h in sets_of(batch):
-                    if (sid := fingerprint(h)) in seen or not wanted[sid % FILTER >> 3] >> (sid % 8) & 1:
-                        continue
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(sid)
-                    cuts = np.searchsorted(h >> np.uint64(64 - (FRAGMENTS.bit_length() - 1)), np.arange(FRAGMENTS + 1))
-                    for f in range(FRAGMENTS):
-                        if cuts[f] < cuts[f + 1]:
-                            sids.append(sid)
-                            fragments.append(f)
-                            parts.append(h[cuts[f] : cuts[f + 1]].view(np.int64))
-                if sids:
+                    sid = fingerprint(h)
+                    cuts = np.searchsorted(h >> np.uint64(64 - (FRAGMENTS.bit_length() - 1)), edges)
+                    for f in fragments:
+                        rows.append((sid, f))
+                        parts.append(h[cuts[f] : cuts[f + 1]].view(np.int64))
+                if rows:
                     ends = np.cumsum([0, *map(len, parts)])
-                    yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(fragments, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))], ["sid", "fragment", "hashes"])
+                    sids, fs = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(fs, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))], ["sid", "fragment", "hashes"])
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("doc_id"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "sid bigint, fragment int, hashes array<bigint>")
 
-    rows = docs.select(text_or_empty().alias("text")).mapInArrow(run, "sid bigint, fragment int, hashes array<bigint>")
-    return rows.dropDuplicates(["sid", "fragment"])
 
+def filter_bits(doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the filter holds these documents: bytes, and bits in them."""
+    k = mix(doc_ids.astype(np.int64).view(np.uint64)) & np.uint64(FILTER - 1)
+    return (k >> np.uint64(3)).astype(np.int64), (k & np.uint64(7)).astype(np.uint8)
 
-def candidate_filter(sids: DataFrame) -> np.ndarray:
-    """A bit for each candidate's fingerprint modulo FILTER, by bytes."""
+
+def candidate_filter(candidates: DataFrame) -> np.ndarray:
+    """The bits of doc_id, by bytes. A document too many only costs its set's computation: pairs name what is compared."""
     schema = pa.schema([("cut", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, some = np.zeros(FILTER >> 3, np.uint8), None
         for batch in batches:
-            v = batch.column("sid").to_numpy()
-            if len(v):
-                some = int(v[0])
-                np.bitwise_or.at(bits, (v % FILTER) >> 3, (1 << (v % 8)).astype(np.uint8))
+            ids = batch.column("doc_id").to_numpy()
+            if len(ids):
+                some = int(ids[0])
+                at, bit = filter_bits(ids)
+                np.bitwise_or.at(bits, at, np.uint8(1) << bit)
         if some is not None:
             yield cut_rows(bits, some % 256, schema)
 
-    found = combined(sids.select("sid").mapInArrow(run, "cut int, salt int, counts binary"), np.uint8, np.bitwise_or)
+    found = combined(candidates.select("doc_id").mapInArrow(run, "cut int, salt int, counts binary"), np.uint8, np.uint8, np.bitwise_or)
     return found if len(found) else np.zeros(FILTER >> 3, np.uint8)
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose overlap, counted by fragment and summed, reaches the similarity."""
-    each = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(f) for f in range(FRAGMENTS)])))
+def overlaps(pairs: DataFrame, sets: DataFrame, fragments: list[int]) -> DataFrame:
+    """pairs (a, b, na, nb) with the sizes of both within these fragments and what they share there. Documents that stand in for a set twice count once."""
+    each = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(f) for f in fragments])))
     one = sets.select(F.col("sid").alias("b"), "fragment", F.col("hashes").alias("_y"))
     two = sets.select(F.col("sid").alias("a"), "fragment", F.col("hashes").alias("_x"))
     part = each.join(one, ["b", "fragment"]).join(two, ["a", "fragment"])
-    total = part.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("_x", "_y"))).alias("shared"))
-    return total.filter(100 * F.col("shared") >= LEAST * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    of = lambda f, x: F.coalesce(F.max(F.when(F.col("fragment") == f, x)), F.lit(0))
+    total = lambda x: sum((of(f, x) for f in fragments[1:]), of(fragments[0], x))
+    return part.groupBy("a", "b", "na", "nb").agg(total(F.size("_x")).alias("in_a"), total(F.size("_y")).alias("in_b"), total(F.size(F.array_intersect("_x", "_y"))).alias("shared"))
+
+
+def similar(shared: Column) -> Column:
+    return 100 * shared >= LEAST * (F.col("na") + F.col("nb") - shared)
+
+
+def linked(docs: DataFrame, stand: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar: by what the first fragment allows, then by the sum over all fragments. stand: the document (doc_id) that stands for each sid."""
+
+    def sets(of: DataFrame, fragments: list[int]) -> DataFrame:
+        ids = of.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        return settle(shingle_sets(docs, candidate_filter(stand.join(ids, "sid")), fragments))
+
+    head, tail = [0], list(range(1, FRAGMENTS))
+    some = overlaps(pairs, sets(pairs, head), head)
+    some = settle(some.filter(similar(F.col("shared") + F.least(F.col("na") - F.col("in_a"), F.col("nb") - F.col("in_b")))).withColumnRenamed("shared", "_head").drop("in_a", "in_b"))
+    left = some.select("a", "b", "na", "nb")
+    both = some.join(overlaps(left, sets(left, tail), tail), ["a", "b", "na", "nb"])
+    return both.filter(similar(F.col("_head") + F.col("shared"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -276,32 +329,87 @@ def rooted(rows: DataFrame, roots: DataFrame, column: str, out: str) -> DataFram
     return rows.join(of, rows[column] == of["_n"], "left").withColumn(out, F.coalesce("_r", column)).drop("_n", "_r")
 
 
+def few_by_few(docs: DataFrame, stand: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links (a, b) between components, from shingles that few sets begin with: all pairs of different components, but those tried before."""
+    other = rows.select("token", *[F.col(c).alias(f"{c}_") for c in ("sid", "n", "pos", "root")])
+    near = (F.col("root") != F.col("root_")) & (F.col("sid") < F.col("sid_")) & may_link("n", "pos", "n_", "pos_")
+    rest = rows.join(other, "token").filter(near)
+    rest = rest.groupBy(F.col("sid").alias("a"), F.col("sid_").alias("b"), F.col("n").alias("na"), F.col("n_").alias("nb"), F.col("root").alias("ra"), F.col("root_").alias("rb"))
+    rest = rest.agg(F.lit(1).alias("_1")).drop("_1")
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = settle(rest.join(tried, ["a", "b"], "left_anti"))
+    return linked(docs, stand, rest.select("a", "b", "na", "nb")).join(rest.select("a", "b", "ra", "rb"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+
+def many_by_blocks(docs: DataFrame, stand: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) between components, from shingles that many sets begin with.
+
+    All sets that share a hub are cut into blocks, and each pair of blocks is a task that
+    counts all overlaps between its sets at once, shingle by shingle, and names one link
+    for each two components. No pair becomes a row before it is a link.
+    """
+    group = rows.groupBy("hub", "sid", "n", "root").agg(F.lit(1).alias("_1"))
+    count = group.groupBy("hub").agg(F.count("*").alias("_m"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi")
+    count = count.select("hub", F.ceil(F.col("_m") / IN_BLOCK).cast("int").alias("_k"))
+    placed = settle(group.join(count, "hub").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("_k")).cast("int")))
+    ids = placed.select("sid").distinct()
+    sets = settle(shingle_sets(docs, candidate_filter(stand.join(ids, "sid")), list(range(FRAGMENTS))).dropDuplicates(["sid", "fragment"]))
+    other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
+    cells = placed.withColumn("_o", other).select("hub", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "sid", "n", "root")
+
+    def run(table: pa.Table) -> pa.Table:
+        sid = table.column("sid").to_numpy()
+        u, first, at = np.unique(sid, return_index=True, return_inverse=True)
+        n, root, block = (table.column(c).to_numpy()[first] for c in ("n", "root", "block"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        lists = table.column("hashes").combine_chunks()
+        keys, col = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(at, np.diff(lists.offsets.to_numpy()))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        place = [np.full(len(u), -1), np.full(len(u), -1)]
+        place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
+        # only shingles of two sets or more can be shared; a stretch of them at a time
+        shared = np.bincount(col, minlength=len(keys)) > 1
+        number = np.cumsum(shared) - 1
+        keep = shared[col]
+        row, col = row[keep], number[col[keep]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        total = np.zeros((len(left), len(right)), np.float32)
+        for low in range(0, int(number[-1]) + 1 if len(number) else 0, STRETCH):
+            a, b = np.searchsorted(col, [low, low + STRETCH])
+            sides = []
+            for p, size in zip(place, (len(left), len(right)), strict=True):
+                m = np.zeros((size, STRETCH), np.float32)
+                r = p[row[a:b]]
+                m[r[r >= 0], col[a:b][r >= 0] - low] = 1
+                sides.append(m)
+            total += sides[0] @ sides[1].T
+        ok = (100 * total >= LEAST * (n[left][:, None] + n[right][None, :] - total)) & (root[left][:, None] != root[right][None, :])
+        x, y = np.nonzero(ok)
+        found = np.unique(np.sort(np.stack([root[left][x], root[right][y]], 1), 1), axis=0)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+    return cells.join(sets, "sid").groupBy("hub", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
     found = materialize(members_and_sketch(docs))
     members = found.filter("cut IS NULL").select("doc_id", "n", "sid")
-    classes = frequency_classes(combined(found, np.uint32, np.add).astype(np.int64))
-    met = materialize(buckets(first_shingles(docs, classes)))
-    meet = met.filter(may_link("n", "pos", "hub_n", "hub_pos"))
+    classes = frequency_classes(combined(found, np.uint8, np.uint32, np.add))
+    met = settle(buckets(first_shingles(docs, classes)))
+    stand = materialize(members.filter("n > 0").groupBy("sid").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("doc_id")))
+    meet = met.filter(F.col("hub") != F.col("sid")).filter(may_link("n", "pos", "hub_n", "hub_pos"))
     pairs = materialize(meet.select(F.col("hub").alias("a"), F.col("sid").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")).distinct())
-    ids = met.select(F.explode(F.array("sid", "hub")).alias("sid"))
-    sets = materialize(shingle_sets(docs, candidate_filter(ids)))
-    links = linked(pairs, sets)
-    roots = components(links)
+    roots = components(linked(docs, stand, pairs))
 
     # what hubs did not join meets all others of its shingle that are in another component
-    rows = met.select("token", "sid", "n", "pos").unionByName(met.select("token", F.col("hub").alias("sid"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos")).distinct())
-    rows = materialize(rooted(rows, roots, "sid", "root"))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("token")
-    left = materialize(rows.join(mixed, "token"))
-    other = left.select("token", *[F.col(c).alias(f"{c}_") for c in ("sid", "n", "pos", "root")])
-    near = (F.col("root") != F.col("root_")) & (F.col("sid") < F.col("sid_")) & may_link("n", "pos", "n_", "pos_")
-    rest = left.join(other, "token").filter(near)
-    rest = rest.select(F.col("sid").alias("a"), F.col("sid_").alias("b"), F.col("n").alias("na"), F.col("n_").alias("nb"), F.col("root").alias("ra"), F.col("root_").alias("rb")).distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
-    more = linked(rest.select("a", "b", "na", "nb"), sets).join(rest.select("a", "b", "ra", "rb"), ["a", "b"])
-    upper = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    rows = settle(rooted(met.select("token", "hub", "sid", "n", "pos"), roots, "sid", "root"))
+    size = rows.groupBy("token").agg(F.count("*").alias("_size"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("token", "_size")
+    rows = settle(rows.join(size, "token"))
+    more = few_by_few(docs, stand, rows.filter(F.col("_size") <= FEW), pairs).unionByName(many_by_blocks(docs, stand, rows.filter(F.col("_size") > FEW)))
+    upper = components(more)
 
     classed = members.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     classed = rooted(rooted(classed, roots, "sid", "root"), upper, "root", "top")
