@@ -43,7 +43,7 @@ SKETCH, FILTER, CUTS = 1 << 22, 1 << 24, 64
 #: Shingles that a task counts into its sketch at once; a task's counters stop at 255.
 COUNTED = 4_000_000
 #: Sets that begin with a shingle, up to which all its pairs are formed; beyond it they are compared in blocks of so many.
-FEW, IN_BLOCK = 64, 512
+FEW, IN_BLOCK = 64, 1024
 #: Shingles that a comparison of blocks counts at once.
 STRETCH = 8_192
 #: Hubs that a group of near copies meets.
@@ -227,8 +227,8 @@ def may_link(n: str, pos: str, m: str, qos: str):
     return fits & (100 * most >= LEAST * (n + m - most))
 
 
-def shingle_sets(docs: DataFrame, wanted: np.ndarray, fragments: list[int]) -> DataFrame:
-    """(sid, fragment, hashes) of the documents that the filter of candidates lets through."""
+def shingle_sets(docs: DataFrame, wanted: np.ndarray, fragments: list[int] | None) -> DataFrame:
+    """(sid, fragment, hashes) of the documents that the filter of candidates lets through; without fragments, whole sets as fragment -1."""
     edges = np.arange(FRAGMENTS + 1, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +238,10 @@ def shingle_sets(docs: DataFrame, wanted: np.ndarray, fragments: list[int]) -> D
                 rows, parts = [], []
                 for _, h in sets_of(batch):
                     sid = fingerprint(h)
+                    if fragments is None:
+                        rows.append((sid, -1))
+                        parts.append(h.view(np.int64))
+                        continue
                     cuts = np.searchsorted(h >> np.uint64(64 - (FRAGMENTS.bit_length() - 1)), edges)
                     for f in fragments:
                         rows.append((sid, f))
@@ -353,7 +357,7 @@ def many_by_blocks(docs: DataFrame, stand: DataFrame, rows: DataFrame) -> DataFr
     count = count.select("hub", F.ceil(F.col("_m") / IN_BLOCK).cast("int").alias("_k"))
     placed = settle(group.join(count, "hub").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("_k")).cast("int")))
     ids = placed.select("sid").distinct()
-    sets = settle(shingle_sets(docs, candidate_filter(stand.join(ids, "sid")), list(range(FRAGMENTS))).dropDuplicates(["sid", "fragment"]))
+    sets = settle(shingle_sets(docs, candidate_filter(stand.join(ids, "sid")), None).dropDuplicates(["sid"]))
     other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
     cells = placed.withColumn("_o", other).select("hub", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "sid", "n", "root")
 
