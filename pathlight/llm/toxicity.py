@@ -247,9 +247,8 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
                     r, h = r[new], h[new]
                     keys, back, n = np.unique(h, return_inverse=True, return_counts=True)
                     bad = np.bincount(back, toxic[r] > 0, len(keys)).astype(np.int64)
-                    some = bad > 0  # units without a toxic text can't enter; of the others every text counts
-                    some |= n > 1
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), p), pa.int32()), pa.array(keys[some].view(np.int64)), pa.array(bad[some]), pa.array(n[some].astype(np.int64))], ["part", "key", "bad", "n"])
+                    # all go on, as a unit without a toxic text here may have one in another slice
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), p), pa.int32()), pa.array(keys.view(np.int64)), pa.array(bad), pa.array(n.astype(np.int64))], ["part", "key", "bad", "n"])
 
     texts = {r["toxic"] > 0: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = texts.get(True, 0), texts.get(False, 0)
