@@ -7,6 +7,8 @@ small table TRAINING each time it is asked for, which takes about a second and g
 same weights each time. A word with neither a digit nor an @ is outside by constraint, so
 runs of other words decode on their own; Viterbi runs over all runs of a batch at once.
 A span of the CRF counts only if it overlaps no pattern's span and its digits are valid.
+Words labelled card, or phone, beside each other are one span if that is valid; otherwise
+they are split at word borders into valid spans that overlap no pattern's.
 
 Null and empty texts have no spans (the digest of the empty string). Repeated rows give
 equal results, an empty table an empty one; columns of other names are ignored by the
@@ -294,6 +296,8 @@ def viterbi(runs: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+#: Digits, and so words, of the longest value that can stand in several words.
+MOST_DIGITS = 19
 _CORES = {
     "email": re.compile(r"[^\s@<>()\[\]\",;:]+@[^\s@<>()\[\]\",;:]*[^\W_]"),
     "ip": re.compile(r"[0-9]+(?:\.[0-9]+){3}"),
@@ -320,8 +324,43 @@ def core(kind: str, text: str, start: int, end: int) -> Span | None:
     return (kind, m.start(), m.end()) if ok else None
 
 
-def crf_spans(texts: list[str], crf: Crf) -> list[list[Span]]:
-    """The CRF's valid spans in each text."""
+def touches(span: Span, others: list[Span]) -> bool:
+    return any(span[1] < b and a < span[2] for _, a, b in others)
+
+
+def parts_of(kind: str, text: str, words: list[tuple[int, int]], taken: list[Span]) -> list[Span]:
+    """The valid spans of runs of words that touch none of `taken`: those that cover most words, then those with the fewest separators inside, then the fewest."""
+    n = len(words)
+    digits = [len(digits_of(text[a:b])) for a, b in words]
+    ends = [text[b - 1] in ",;" for _, b in words]
+    starts = [text[a] == "+" for a, _ in words]
+    best = [(0, 0, 0)] * (n + 1)  # from each word on
+    step: list[tuple[int, Span | None]] = [(n, None)] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        score, step[i] = best[i + 1], (i + 1, None)
+        total = apart = 0
+        for k in range(i, n):
+            total += digits[k]
+            if total > MOST_DIGITS or k - i >= MOST_DIGITS:
+                break
+            if k > i:
+                apart += ends[k - 1] + starts[k]
+            if (s := core(kind, text, words[i][0], words[k][1])) and not touches(s, taken):
+                rest = best[k + 1]
+                mine = (rest[0] + k + 1 - i, rest[1] - apart, rest[2] - 1)
+                if mine > score:
+                    score, step[i] = mine, (k + 1, s)
+        best[i] = score
+    out, at = [], 0
+    while at < n:
+        at, s = step[at]
+        if s:
+            out.append(s)
+    return out
+
+
+def crf_spans(texts: list[str], crf: Crf, bases: list[list[Span]]) -> list[list[Span]]:
+    """The CRF's valid spans in each text that touch none of the patterns' spans (bases)."""
     runs, where = [], []
     for i, text in enumerate(texts):
         if not _CANDIDATE.search(text):
@@ -354,8 +393,13 @@ def crf_spans(texts: list[str], crf: Crf) -> list[list[Span]]:
             k, kind = j + 1, LABELS[labels[j]]
             while k < len(g) and labels[k] == labels[j] and kind in ("card", "phone"):
                 k += 1
-            if kind != "O" and (s := core(kind, texts[i], g[j][0], g[k - 1][1])):
-                out[i].append(s)
+            if kind != "O":
+                s = core(kind, texts[i], g[j][0], g[k - 1][1])
+                if s and not touches(s, bases[i]):
+                    out[i].append(s)
+                elif k > j + 1:
+                    # values beside each other, or beside a pattern's
+                    out[i] += parts_of(kind, texts[i], g[j:k], bases[i])
             j = k
     return out
 
@@ -366,12 +410,9 @@ def _space(c: str) -> bool:
 
 def all_spans(texts: list[str], crf: Crf) -> list[tuple[list[Span], list[Span]]]:
     """(pattern spans, these and what the CRF adds) of each text."""
-    out = []
-    for text, added in zip(texts, crf_spans(texts, crf), strict=True):
-        base = base_spans(text)
-        new = [s for s in added if not any(s[1] < b and a < s[2] for _, a, b in base)] if base else added
-        out.append((base, sorted([*base, *new], key=lambda s: (s[1], KINDS.index(s[0])))))
-    return out
+    bases = [base_spans(t) for t in texts]
+    added = crf_spans(texts, crf, bases)
+    return [(base, sorted([*base, *new], key=lambda s: (s[1], KINDS.index(s[0])))) for base, new in zip(bases, added, strict=True)]
 
 
 REPORT = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
