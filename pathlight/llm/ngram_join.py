@@ -79,12 +79,12 @@ def fingerprint(h: np.ndarray) -> int:
     return int(mix(np.array([total]))[0].view(np.int64))
 
 
-MEMBERS = "doc_id bigint, n int, sid bigint, cut int, salt int, counts binary"
-_MEMBERS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("cut", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
+MEMBERS = "doc_id bigint, own bigint, n int, sid bigint, cut int, salt int, counts binary"
+_MEMBERS = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("cut", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
 
 
 def members_and_sketch(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, n, sid), and after them the rows (cut, salt, counts) of each task's sketch."""
+    """A row for each document (doc_id, own, n, sid), own being the hash of its text, and after them the rows (cut, salt, counts) of each task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, some, held = np.zeros(SKETCH, np.uint8), 0, []
@@ -104,13 +104,13 @@ def members_and_sketch(docs: DataFrame) -> DataFrame:
                 if sum(map(len, held)) >= COUNTED:
                     count()
                 none = pa.nulls(batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sid, mask=n == 0), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_MEMBERS)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), pa.array(n), pa.array(sid, mask=n == 0), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_MEMBERS)
         if some:
             if held:
                 count()
             yield cut_rows(sketch, some % 256, _MEMBERS)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, MEMBERS)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("own"), text_or_empty().alias("text")).mapInArrow(run, MEMBERS)
 
 
 def cut_rows(values: np.ndarray, salt: int, schema: pa.Schema) -> pa.RecordBatch:
@@ -397,10 +397,10 @@ def many_by_blocks(docs: DataFrame, stand: DataFrame, rows: DataFrame) -> DataFr
     return cells.join(sets, "sid").groupBy("hub", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs."""
+def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, own, n and sid of every row of docs; and for each sid, `first`, its first row (doc_id, own) where null doc_ids come last, and `top`, its component."""
     found = materialize(members_and_sketch(docs))
-    members = found.filter("cut IS NULL").select("doc_id", "n", "sid")
+    members = found.filter("cut IS NULL").select("doc_id", "own", "n", "sid")
     classes = frequency_classes(combined(found, np.uint8, np.uint32, np.add))
     met = settle(buckets(first_shingles(docs, classes)))
     stand = materialize(members.filter("n > 0").groupBy("sid").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("doc_id")))
@@ -415,27 +415,35 @@ def join_components(docs: DataFrame) -> DataFrame:
     more = few_by_few(docs, stand, rows.filter(F.col("_size") <= FEW), pairs).unionByName(many_by_blocks(docs, stand, rows.filter(F.col("_size") > FEW)))
     upper = components(more)
 
-    classed = members.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    classed = rooted(rooted(classed, roots, "sid", "root"), upper, "root", "top")
-    least = classed.groupBy("top").agg(F.min("least").alias("component_id"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")
+    classed = members.filter("n > 0").groupBy("sid").agg(F.min(row).alias("first"))
+    return members, rooted(rooted(classed, roots, "sid", "root"), upper, "root", "top")
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs."""
+    members, classed = classes_of(docs)
+    least = classed.groupBy("top").agg(F.min("first.doc_id").alias("component_id"))
     named = classed.select("sid", "top").join(least, "top").select(F.col("sid").alias("_sid"), "component_id")
     out = members.join(named, members["sid"] == named["_sid"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id, once. Rows without doc_id stay only where their component has no doc_id at all."""
-    parts = join_components(docs.select("doc_id", "text"))
-    kept = parts.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    first = named.withColumn("_one", F.row_number().over(one_per("doc_id"))).filter("_one = 1").drop("_one")
-    return first.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one row of each component: the one with the smallest doc_id (null ones last), and of texts that share it the one with the smallest hash. A row that repeats stays once. Rows without shingles all stay."""
+    _, classed = classes_of(docs.select("doc_id", "text"))
+    kept = classed.groupBy("top").agg(F.min("first").alias("_f")).select(F.col("_f.doc_id").alias("_id"), F.col("_f.own").alias("_hash"))
+    bare = ~text_or_empty().rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.withColumn("_own", F.xxhash64(text_or_empty()))
+    named = rows.filter(~bare).join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi")
+    first = named.withColumn("_one", F.row_number().over(one_per("doc_id", "_own"))).filter("_one = 1").drop("_one")
+    return first.unionByName(rows.filter(bare)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def one_per(column: str):
+def one_per(*columns: str):
     from pyspark.sql.window import Window
 
-    return Window.partitionBy(column).orderBy(F.xxhash64("text"))
+    return Window.partitionBy(*columns).orderBy(columns[-1])
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
