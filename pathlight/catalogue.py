@@ -316,6 +316,17 @@ def g04_shortest_path(spark, d):
     return G.shortest_paths(sparse(spark, d), one, 5).select("src", "dst", "hops", F.array_join("path", ",").alias("path"))
 
 
+@query()
+def g05_apsp_all_links(spark, d):
+    return G.all_pairs(network(spark, d, "as").links).select("src", "dst", "hops", F.array_join("path", ",").alias("path"))
+
+
+@query()
+def g04_shortest_path_all_links(spark, d):
+    one = spark.range(1).select(F.lit(1).cast("bigint").alias("node"))
+    return G.shortest_paths(network(spark, d, "as").links, one).select("src", "dst", "hops", F.array_join("path", ",").alias("path"))
+
+
 ORACLE_SQL["g05_apsp"] = f"{BFS_SQL} SELECT src, dst, CAST(h AS BIGINT) AS hops, array_to_string(path, ',') AS path FROM best WHERE k = 1 AND src < dst"
 ORACLE_SQL["g04_shortest_path"] = f"{BFS_SQL} SELECT src, dst, CAST(h AS BIGINT) AS hops, array_to_string(path, ',') AS path FROM best WHERE k = 1 AND src = 1"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count, islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +29,10 @@ def neighbors(links: DataFrame) -> DataFrame:
     return both_ways(links).groupBy("node").agg(F.array_sort(F.collect_set("neighbor")).alias("neighbors"))
 
 
-def shortest_paths(links: DataFrame, sources: DataFrame | None = None, most: int = 64) -> DataFrame:
+def shortest_paths(links: DataFrame, sources: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """src, dst, hops and path of every reachable pair: fewest hops, and of equals the path whose nodes come first in order.
 
-    Frontiers of all sources grow a hop at a time by joins, at most `most` hops. That tie
+    Frontiers of all sources grow a hop at a time by joins until none does, or for `most` hops. That tie
     rule is what a breadth-first search that visits neighbours in ascending order gives.
     sources: rows of `node`; all nodes if left out.
     """
@@ -38,7 +40,7 @@ def shortest_paths(links: DataFrame, sources: DataFrame | None = None, most: int
     start = sources.select("node") if sources is not None else step.select("node").distinct()
     front = cut(start.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.array("node").alias("path")))
     reached = front
-    for _ in range(most):
+    for _ in islice(count(), most):
         grown = front.join(step, F.col("dst") == F.col("node")).select("src", F.col("neighbor").alias("dst"), F.concat("path", F.array("neighbor")).alias("path"))
         grown = grown.groupBy("src", "dst").agg(F.min("path").alias("path")).join(reached.select("src", "dst"), ["src", "dst"], "left_anti")
         front = cut(grown)
@@ -48,7 +50,7 @@ def shortest_paths(links: DataFrame, sources: DataFrame | None = None, most: int
     return reached.filter("src <> dst").select("src", "dst", (F.size("path") - 1).cast("bigint").alias("hops"), "path")
 
 
-def all_pairs(links: DataFrame, most: int = 64) -> DataFrame:
+def all_pairs(links: DataFrame, most: int | None = None) -> DataFrame:
     """The shortest path of each unordered pair, from its smaller node."""
     return shortest_paths(links, most=most).filter("src < dst")
 
