@@ -6,15 +6,17 @@ documents becomes words and 64-bit word hashes without a Python loop over words.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathlight.plans.lineage import cut, discard  # noqa: F401
+
 #: Bytes of text that the kernel turns into words at once; bounds its scratch memory.
 BLOCK = 1 << 20
 #: Bytes of text that an operator handles at once (one document at least).
@@ -33,28 +35,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        at = f"file://{tempfile.mkdtemp(prefix='pathlight-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+def materialize(df: DataFrame) -> DataFrame:
+    """Cuts lineage: writes df as a table in the shared folder and reads it again. The step's shuffle files go with its end, the table by `discard`."""
+    return cut(df)
+
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving the memory that it has freed back to the system at its end: workers stay for later tasks, and what they hold counts for the executor."""
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as a table in the shared folder and reads it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pathlight/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """materialize, for steps with large shuffles: the driver's JVM is asked to collect, upon which Spark drops the shuffle files of the step at once rather than at some later time."""
-    out = materialize(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps what it holds
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_or_empty(name: str = "text"):

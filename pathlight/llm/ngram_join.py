@@ -10,7 +10,9 @@ of shingles, frequent ones last, serves twice:
   a shared shingle in both sets bounds their overlap, which drops most other pairs.
 - Overlaps: the order's hash range is cut into FRAGMENTS. Partial overlaps of a pair are
   counted fragment by fragment and summed per pair, so long texts are dealt out too. The
-  first fragment alone bounds the sum, and most false pairs end there.
+  first fragment alone, as 32-bit hashes, bounds the sum, and most false pairs end there.
+  Sets that share a very common shingle are compared in blocks, whose partial overlaps a
+  task adds up fragment by fragment without a row for each pair.
 
 The result is exact: hubs and bounds only spare work. Equal sets are one class from the
 start, found by a 64-bit fingerprint of the set. Frequencies come from a sketch of fixed
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlight.llm.common import bytes_of, documents, materialize, mix, rolling, settle, slices, text_or_empty, words
+from pathlight.llm.common import bytes_of, discard, documents, materialize, mix, rolling, slices, text_or_empty, trimmed, words
 
 K = 5
 #: Least similarity in percent.
@@ -39,17 +41,17 @@ LEAST = 75
 #: Parts that the hash range is cut into; a power of two.
 FRAGMENTS = 4
 #: Counters of the frequency sketch, bits of the filter of candidates, and rows that these are cut into.
-SKETCH, FILTER, CUTS = 1 << 22, 1 << 24, 64
+SKETCH, FILTER, CUTS = 1 << 22, 1 << 24, 256
 #: Shingles that a task counts into its sketch at once; a task's counters stop at 255.
-COUNTED = 4_000_000
-#: Sets that begin with a shingle, up to which all its pairs are formed; beyond it they are compared in blocks of so many.
-FEW, IN_BLOCK = 64, 1024
-#: Shingles that a comparison of blocks counts at once.
-STRETCH = 8_192
+COUNTED = 2_000_000
+#: Sets that begin with a shingle, up to which all its pairs are formed; beyond it they are compared in blocks.
+FEW = 64
+#: Sets and shingles of a block, on average; parts of the hash range that blocks are compared by; shingles counted at once.
+IN_BLOCK, BLOCK_SHINGLES, PARTS, STRETCH = 1024, 1 << 19, 16, 2048
 #: Hubs that a group of near copies meets.
 HUBS = 4
 #: Fingerprints that a task remembers so as not to repeat the rows of exact copies.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 def sets_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -79,19 +81,20 @@ def fingerprint(h: np.ndarray) -> int:
     return int(mix(np.array([total]))[0].view(np.int64))
 
 
-MEMBERS = "doc_id bigint, own bigint, n int, sid bigint, cut int, salt int, counts binary"
-_MEMBERS = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("cut", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
+MEMBERS = "doc_id bigint, own bigint, n int, sid bigint, cut int, counts binary"
+_MEMBERS = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("cut", pa.int32()), ("counts", pa.binary())])
 
 
 def members_and_sketch(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, own, n, sid), own being the hash of its text, and after them the rows (cut, salt, counts) of each task's sketch."""
+    """A row for each document (doc_id, own, n, sid), own being the hash of its text, and after them the rows (cut, counts) of each task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, some, held = np.zeros(SKETCH, np.uint8), 0, []
+        sketch, held = np.zeros(SKETCH, np.uint8), []
+        some = False
 
         def count() -> None:
-            now = np.bincount((np.concatenate(held) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-            sketch[:] = np.minimum(sketch + np.minimum(now, 255).astype(np.uint16), 255)
+            at, now = np.unique((np.concatenate(held) & np.uint64(SKETCH - 1)).astype(np.uint32), return_counts=True)
+            sketch[at] = np.minimum(sketch[at] + np.minimum(now, 255).astype(np.uint16), 255)
             held.clear()
 
         for whole in batches:
@@ -100,40 +103,37 @@ def members_and_sketch(docs: DataFrame) -> DataFrame:
                 for row, h in sets_of(batch):
                     n[row], sid[row] = len(h), fingerprint(h)
                     held.append(h)
-                    some = some or int(sid[row])
+                    some = True
                 if sum(map(len, held)) >= COUNTED:
                     count()
                 none = pa.nulls(batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), pa.array(n), pa.array(sid, mask=n == 0), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_MEMBERS)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), pa.array(n), pa.array(sid, mask=n == 0), none.cast(pa.int32()), none.cast(pa.binary())], schema=_MEMBERS)
         if some:
             if held:
                 count()
-            yield cut_rows(sketch, some % 256, _MEMBERS)
+            yield cut_rows(sketch, _MEMBERS)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("own"), text_or_empty().alias("text")).mapInArrow(run, MEMBERS)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("own"), text_or_empty().alias("text")).mapInArrow(trimmed(run), MEMBERS)
 
 
-def cut_rows(values: np.ndarray, salt: int, schema: pa.Schema) -> pa.RecordBatch:
-    parts = [x.tobytes() for x in np.split(values, CUTS)]
-    own = {"cut": pa.array(range(CUTS), pa.int32()), "salt": pa.array([salt] * CUTS, pa.int32()), "counts": pa.array(parts, pa.binary())}
+def cut_rows(values: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    own = {"cut": pa.array(range(CUTS), pa.int32()), "counts": pa.array([x.tobytes() for x in np.split(values, CUTS)], pa.binary())}
     return pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(CUTS).cast(f.type)) for f in schema], schema=schema)
 
 
-def combined(rows: DataFrame, small: type, kind: type, how: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The tasks' arrays of fixed size and type `small` as one of type `kind`: first within each salt, then over all. Only that one comes to the driver."""
-    length = SKETCH // CUTS if how is np.add else FILTER // 8 // CUTS
+def combined(rows: DataFrame, kind: type, how: Callable[..., np.ndarray]) -> np.ndarray:
+    """The tasks' arrays of bytes as one array of fixed size; each cut reads them as a stream. Only that one comes to the driver."""
 
-    def run(table: pa.Table) -> pa.Table:
-        out = None
-        for x in table.column("counts"):
-            raw = x.as_py()
-            a = np.frombuffer(raw, small if len(raw) == length * np.dtype(small).itemsize else kind).astype(kind)
-            out = a if out is None else how(out, a)
-        return pa.table({"cut": table.column("cut")[:1], "salt": table.column("salt")[:1], "counts": pa.array([out.tobytes()], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = cut = None
+        for batch in batches:
+            cut = batch.column("cut")[:1]
+            for x in batch.column("counts"):
+                a = np.frombuffer(x.as_buffer(), np.uint8).astype(kind)
+                out = a if out is None else how(out, a, out=out)
+        yield pa.RecordBatch.from_arrays([cut, pa.array([out.tobytes()], pa.binary())], ["cut", "counts"])
 
-    shape = "cut int, salt int, counts binary"
-    rows = rows.filter("cut IS NOT NULL").select("cut", "salt", "counts")
-    found = rows.groupBy("cut", "salt").applyInArrow(run, shape).groupBy("cut").applyInArrow(run, shape).collect()
+    found = rows.filter("cut IS NOT NULL").select("cut", "counts").groupBy("cut").applyInArrow(run, "cut int, counts binary").collect()
     return np.concatenate([np.frombuffer(r["counts"], kind) for r in sorted(found, key=lambda r: r["cut"])]) if found else np.empty(0, kind)
 
 
@@ -173,7 +173,7 @@ def first_shingles(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 values = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["sid", "n", "tokens"])
 
-    rows = docs.select(text_or_empty().alias("text")).mapInArrow(run, "sid bigint, n int, tokens array<bigint>")
+    rows = docs.select(text_or_empty().alias("text")).mapInArrow(trimmed(run), "sid bigint, n int, tokens array<bigint>")
     return rows.select("sid", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "sid", "n", "pos")
 
 
@@ -216,7 +216,7 @@ def buckets(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in BUCKETS.split(", ")])
 
     by = F.xxhash64(F.col("sid"), F.pmod(F.col("token"), F.lit(HUBS)))
-    return tokens.repartition("token").sortWithinPartitions("token", by, "sid").mapInArrow(run, BUCKETS)
+    return tokens.repartition("token").sortWithinPartitions("token", by, "sid").mapInArrow(trimmed(run), BUCKETS)
 
 
 def may_link(n: str, pos: str, m: str, qos: str):
@@ -227,32 +227,47 @@ def may_link(n: str, pos: str, m: str, qos: str):
     return fits & (100 * most >= LEAST * (n + m - most))
 
 
-def shingle_sets(docs: DataFrame, wanted: np.ndarray, fragments: list[int] | None) -> DataFrame:
-    """(sid, fragment, hashes) of the documents that the filter of candidates lets through; without fragments, whole sets as fragment -1."""
-    edges = np.arange(FRAGMENTS + 1, dtype=np.uint64)
+def shingle_sets(docs: DataFrame, wanted: np.ndarray, parts: int) -> DataFrame:
+    """(sid, part, hashes) of the documents that the filter of candidates lets through, by so many parts of the hash range."""
+    edges, shift = np.arange(parts + 1, dtype=np.uint64), np.uint64(64 - (parts.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            at, bit = filter_bits(whole.column("doc_id").to_numpy())
-            for batch in slices(whole.filter(pa.array(wanted[at] >> bit & 1 > 0))):
-                rows, parts = [], []
-                for _, h in sets_of(batch):
-                    sid = fingerprint(h)
-                    if fragments is None:
-                        rows.append((sid, -1))
-                        parts.append(h.view(np.int64))
-                        continue
-                    cuts = np.searchsorted(h >> np.uint64(64 - (FRAGMENTS.bit_length() - 1)), edges)
-                    for f in fragments:
-                        rows.append((sid, f))
-                        parts.append(h[cuts[f] : cuts[f + 1]].view(np.int64))
-                if rows:
-                    ends = np.cumsum([0, *map(len, parts)])
-                    sids, fs = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(fs, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))], ["sid", "fragment", "hashes"])
+        for sids, sets in wanted_sets(batches, wanted):
+            cuts = [np.searchsorted(h >> shift, edges) for h in sets]
+            lens = np.concatenate([np.diff(c) for c in cuts])
+            hashes = np.concatenate(sets).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lens]), pa.int32()), pa.array(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sids, parts)), pa.array(np.tile(np.arange(parts, dtype=np.int32), len(sids))), lists], ["sid", "part", "hashes"]).filter(pa.array(lens > 0))
+
+    return texts(docs).mapInArrow(trimmed(run), "sid bigint, part int, hashes array<bigint>")
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "sid bigint, fragment int, hashes array<bigint>")
+
+def heads(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(sid, size, lost, hashes): of each such document's first fragment the number of shingles, their hashes as 32 bits, and how many of these coincide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sids, sets in wanted_sets(batches, wanted):
+            own = [h[: np.searchsorted(h >> np.uint64(64 - (FRAGMENTS.bit_length() - 1)), 1)] for h in sets]
+            short = [np.unique(h.astype(np.uint32)) for h in own]
+            size, kept = np.array([len(h) for h in own], np.int32), np.array([len(h) for h in short], np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *kept]), pa.int32()), pa.array(np.concatenate(short).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array(size), pa.array(size - kept), lists], ["sid", "size", "lost", "hashes"])
+
+    return texts(docs).mapInArrow(trimmed(run), "sid bigint, size int, lost int, hashes array<int>")
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("doc_id"), text_or_empty().alias("text"))
+
+
+def wanted_sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Fingerprints and sets of the documents that the filter of candidates lets through, by slices; a set that repeats in a slice comes once."""
+    for whole in batches:
+        at, bit = filter_bits(whole.column("doc_id").to_numpy())
+        for batch in slices(whole.filter(pa.array(wanted[at] >> bit & 1 > 0))):
+            sets = {fingerprint(h): h for _, h in sets_of(batch)}
+            if sets:
+                yield np.array(list(sets), np.int64), list(sets.values())
 
 
 def filter_bits(doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,51 +278,61 @@ def filter_bits(doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def candidate_filter(candidates: DataFrame) -> np.ndarray:
     """The bits of doc_id, by bytes. A document too many only costs its set's computation: pairs name what is compared."""
-    schema = pa.schema([("cut", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("cut", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, some = np.zeros(FILTER >> 3, np.uint8), None
+        bits, some = np.zeros(FILTER >> 3, np.uint8), False
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             if len(ids):
-                some = int(ids[0])
+                some = True
                 at, bit = filter_bits(ids)
                 np.bitwise_or.at(bits, at, np.uint8(1) << bit)
-        if some is not None:
-            yield cut_rows(bits, some % 256, schema)
+        if some:
+            yield cut_rows(bits, schema)
 
-    found = combined(candidates.select("doc_id").mapInArrow(run, "cut int, salt int, counts binary"), np.uint8, np.uint8, np.bitwise_or)
+    found = combined(candidates.select("doc_id").mapInArrow(run, "cut int, counts binary"), np.uint8, np.bitwise_or)
     return found if len(found) else np.zeros(FILTER >> 3, np.uint8)
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, fragments: list[int]) -> DataFrame:
-    """pairs (a, b, na, nb) with the sizes of both within these fragments and what they share there. Documents that stand in for a set twice count once."""
-    each = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(f) for f in fragments])))
-    one = sets.select(F.col("sid").alias("b"), "fragment", F.col("hashes").alias("_y"))
-    two = sets.select(F.col("sid").alias("a"), "fragment", F.col("hashes").alias("_x"))
-    part = each.join(one, ["b", "fragment"]).join(two, ["a", "fragment"])
-    of = lambda f, x: F.coalesce(F.max(F.when(F.col("fragment") == f, x)), F.lit(0))
-    total = lambda x: sum((of(f, x) for f in fragments[1:]), of(fragments[0], x))
-    return part.groupBy("a", "b", "na", "nb").agg(total(F.size("_x")).alias("in_a"), total(F.size("_y")).alias("in_b"), total(F.size(F.array_intersect("_x", "_y"))).alias("shared"))
-
-
 def similar(shared: Column) -> Column:
     return 100 * shared >= LEAST * (F.col("na") + F.col("nb") - shared)
 
 
+def of_both(pairs: DataFrame, sets: DataFrame, on: list[str]) -> DataFrame:
+    """pairs beside what sets say of b (as y_...) and of a (as x_...)."""
+    rest = [c for c in sets.columns if c not in ("sid", "part")]
+    side = lambda end, mark: sets.select(F.col("sid").alias(end), *on, *[F.col(c).alias(f"{mark}_{c}") for c in rest])
+    return pairs.join(side("b", "y"), ["b", *on]).join(side("a", "x"), ["a", *on])
+
+
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that can be similar by what they share of the first fragment. Equal 32-bit hashes can hide a shared shingle where they coincide within a set, so these count as shared."""
+    shared = F.size(F.array_intersect("x_hashes", "y_hashes")) + F.least("x_lost", "y_lost")
+    return of_both(pairs, sets, []).filter(similar(shared + F.least(F.col("na") - F.col("x_size"), F.col("nb") - F.col("y_size")))).select("a", "b", "na", "nb").distinct()
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, na, nb) with what they share: partial overlaps by fragment, summed per pair. Documents that stand in for a set twice count once."""
+    each = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    part = of_both(each, sets, ["part"]).groupBy("a", "b", "na", "nb", "part").agg(F.max(F.size(F.array_intersect("x_hashes", "y_hashes"))).alias("_s"))
+    return part.groupBy("a", "b", "na", "nb").agg(F.sum("_s").alias("shared"))
+
+
 def linked(docs: DataFrame, stand: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar: by what the first fragment allows, then by the sum over all fragments. stand: the document (doc_id) that stands for each sid."""
 
-    def sets(of: DataFrame, fragments: list[int]) -> DataFrame:
+    def wanted(of: DataFrame) -> np.ndarray:
         ids = of.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        return settle(shingle_sets(docs, candidate_filter(stand.join(ids, "sid")), fragments))
-
-    head, tail = [0], list(range(1, FRAGMENTS))
-    some = overlaps(pairs, sets(pairs, head), head)
-    some = settle(some.filter(similar(F.col("shared") + F.least(F.col("na") - F.col("in_a"), F.col("nb") - F.col("in_b")))).withColumnRenamed("shared", "_head").drop("in_a", "in_b"))
-    left = some.select("a", "b", "na", "nb")
-    both = some.join(overlaps(left, sets(left, tail), tail), ["a", "b", "na", "nb"])
-    return both.filter(similar(F.col("_head") + F.col("shared"))).select("a", "b")
+        return candidate_filter(stand.join(ids, "sid"))
+
+    first = materialize(heads(docs, wanted(pairs)))
+    left = materialize(possible(pairs, first))
+    discard(first)
+    sets = materialize(shingle_sets(docs, wanted(left), FRAGMENTS))
+    out = materialize(overlaps(left, sets).filter(similar(F.col("shared"))).select("a", "b"))
+    discard(left, sets)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -320,7 +345,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = materialize(small.filter("a <> b").distinct())
+        after = materialize(small.filter("a <> b").distinct())
+        discard(edges)
+        edges = after
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).collect()[0])
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -341,79 +368,143 @@ def few_by_few(docs: DataFrame, stand: DataFrame, rows: DataFrame, pairs: DataFr
     rest = rest.groupBy(F.col("sid").alias("a"), F.col("sid_").alias("b"), F.col("n").alias("na"), F.col("n_").alias("nb"), F.col("root").alias("ra"), F.col("root_").alias("rb"))
     rest = rest.agg(F.lit(1).alias("_1")).drop("_1")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = settle(rest.join(tried, ["a", "b"], "left_anti"))
-    return linked(docs, stand, rest.select("a", "b", "na", "nb")).join(rest.select("a", "b", "ra", "rb"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
+    links = linked(docs, stand, rest.select("a", "b", "na", "nb"))
+    out = materialize(links.join(rest.select("a", "b", "ra", "rb"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    discard(rest, links)
+    return out
 
 
 def many_by_blocks(docs: DataFrame, stand: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) between components, from shingles that many sets begin with.
 
-    All sets that share a hub are cut into blocks, and each pair of blocks is a task that
-    counts all overlaps between its sets at once, shingle by shingle, and names one link
-    for each two components. No pair becomes a row before it is a link.
+    All sets that share a hub are cut into blocks of bounded sets and shingles. Each pair of
+    blocks is read as a stream, fragment by fragment: a matrix product counts what their sets
+    share of a fragment, and the sums over all fragments name one link for each two
+    components. No pair becomes a row before it is a link.
     """
     group = rows.groupBy("hub", "sid", "n", "root").agg(F.lit(1).alias("_1"))
-    count = group.groupBy("hub").agg(F.count("*").alias("_m"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi")
-    count = count.select("hub", F.ceil(F.col("_m") / IN_BLOCK).cast("int").alias("_k"))
-    placed = settle(group.join(count, "hub").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("_k")).cast("int")))
-    ids = placed.select("sid").distinct()
-    sets = settle(shingle_sets(docs, candidate_filter(stand.join(ids, "sid")), None).dropDuplicates(["sid"]))
+    count = group.groupBy("hub").agg(F.count("*").alias("_m"), F.sum("n").alias("_s"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi")
+    count = count.select("hub", F.greatest(F.ceil(F.col("_m") / IN_BLOCK), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int").alias("_k"))
+    placed = materialize(group.join(count, "hub").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("_k")).cast("int")))
+    sets = materialize(shingle_sets(docs, candidate_filter(stand.join(placed.select("sid").distinct(), "sid")), PARTS).dropDuplicates(["sid", "part"]))
     other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
     cells = placed.withColumn("_o", other).select("hub", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "sid", "n", "root")
+    roster = cells.withColumn("part", F.lit(-1)).withColumn("hashes", F.lit(None).cast("array<bigint>"))
+    pieces = cells.select("hub", "i", "j", "sid").distinct().join(sets, "sid")
+    stream = roster.unionByName(pieces, allowMissingColumns=True).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "part")
+    out = materialize(stream.select("hub", "i", "j", "part", "block", "sid", "n", "root", "hashes").mapInArrow(trimmed(compared), "a bigint, b bigint").distinct())
+    discard(placed, sets)
+    return out
 
-    def run(table: pa.Table) -> pa.Table:
-        sid = table.column("sid").to_numpy()
-        u, first, at = np.unique(sid, return_index=True, return_inverse=True)
-        n, root, block = (table.column(c).to_numpy()[first] for c in ("n", "root", "block"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        lists = table.column("hashes").combine_chunks()
-        keys, col = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        row = np.repeat(at, np.diff(lists.offsets.to_numpy()))
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        place = [np.full(len(u), -1), np.full(len(u), -1)]
-        place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
+
+class Cell:
+    """Two blocks of sets (one, if i = j) and what their sets have shared so far."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        self.key = tuple(rows.column(c)[0].as_py() for c in ("hub", "i", "j"))
+        self.rows, self.part, self.held = [rows], None, []
+
+    def roster(self) -> None:
+        sid, n, root, block = (np.concatenate([r.column(c).to_numpy(zero_copy_only=False) for r in self.rows]) for c in ("sid", "n", "root", "block"))
+        self.rows = []
+        self.sides = []
+        for b in self.key[1:]:
+            own, first = np.unique(sid[block == b], return_index=True)
+            self.sides.append((own, n[block == b][first].astype(np.int64), root[block == b][first]))
+        self.total = np.zeros([len(s[0]) for s in self.sides], np.float32)
+
+    def add(self, rows: pa.RecordBatch, part: int) -> None:
+        if part == -1:
+            self.rows.append(rows)
+            return
+        if part != self.part:
+            self.count()
+            self.part = part
+        self.held.append(rows)
+
+    def count(self) -> None:
+        """Adds what the sets share of the fragment that has been read."""
+        if self.rows:
+            self.roster()
+        if not self.held:
+            return
+        sid = np.concatenate([r.column("sid").to_numpy() for r in self.held])
+        lens = np.concatenate([r.column("hashes").value_lengths().to_numpy() for r in self.held])
+        keys, col = np.unique(np.concatenate([r.column("hashes").flatten().to_numpy() for r in self.held]), return_inverse=True)
+        self.held = []
         # only shingles of two sets or more can be shared; a stretch of them at a time
         shared = np.bincount(col, minlength=len(keys)) > 1
         number = np.cumsum(shared) - 1
         keep = shared[col]
-        row, col = row[keep], number[col[keep]]
+        row, col = np.repeat(np.arange(len(sid)), lens)[keep], number[col[keep]]
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
-        total = np.zeros((len(left), len(right)), np.float32)
+        places = []
+        for own, _, _ in self.sides:
+            at = np.minimum(np.searchsorted(own, sid), max(len(own) - 1, 0))
+            places.append(np.where(own[at] == sid, at, -1) if len(own) else np.full(len(sid), -1))
         for low in range(0, int(number[-1]) + 1 if len(number) else 0, STRETCH):
             a, b = np.searchsorted(col, [low, low + STRETCH])
             sides = []
-            for p, size in zip(place, (len(left), len(right)), strict=True):
+            for p, size in zip(places, self.total.shape, strict=True):
                 m = np.zeros((size, STRETCH), np.float32)
                 r = p[row[a:b]]
                 m[r[r >= 0], col[a:b][r >= 0] - low] = 1
                 sides.append(m)
-            total += sides[0] @ sides[1].T
-        ok = (100 * total >= LEAST * (n[left][:, None] + n[right][None, :] - total)) & (root[left][:, None] != root[right][None, :])
-        x, y = np.nonzero(ok)
-        found = np.unique(np.sort(np.stack([root[left][x], root[right][y]], 1), 1), axis=0)
-        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+            self.total += sides[0] @ sides[1].T
 
-    return cells.join(sets, "sid").groupBy("hub", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    def links(self) -> pa.RecordBatch:
+        self.count()
+        (_, n, ra), (_, m, rb) = self.sides
+        ok = (100 * self.total >= LEAST * (n[:, None] + m[None, :] - self.total)) & (ra[:, None] != rb[None, :])
+        x, y = np.nonzero(ok)
+        found = np.unique(np.sort(np.stack([ra[x], rb[y]], 1), 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (a, b) of each cell. Rows come sorted by cell and fragment, a cell's sets first (as fragment -1)."""
+    cell = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("hub", "i", "j", "part")], 1)
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+        for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+            rows = batch.slice(int(a), int(b - a))
+            if cell is None or tuple(keys[a, :3].tolist()) != cell.key:
+                if cell is not None:
+                    yield cell.links()
+                cell = Cell(rows)
+            else:
+                cell.add(rows, int(keys[a, 3]))
+    if cell is not None:
+        yield cell.links()
 
 
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, own, n and sid of every row of docs; and for each sid, `first`, its first row (doc_id, own) where null doc_ids come last, and `top`, its component."""
     found = materialize(members_and_sketch(docs))
-    members = found.filter("cut IS NULL").select("doc_id", "own", "n", "sid")
-    classes = frequency_classes(combined(found, np.uint8, np.uint32, np.add))
-    met = settle(buckets(first_shingles(docs, classes)))
+    members = materialize(found.filter("cut IS NULL").select("doc_id", "own", "n", "sid"))
+    classes = frequency_classes(combined(found, np.uint32, np.add))
+    discard(found)
+    met = materialize(buckets(first_shingles(docs, classes)))
     stand = materialize(members.filter("n > 0").groupBy("sid").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("doc_id")))
     meet = met.filter(F.col("hub") != F.col("sid")).filter(may_link("n", "pos", "hub_n", "hub_pos"))
     pairs = materialize(meet.select(F.col("hub").alias("a"), F.col("sid").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")).distinct())
-    roots = components(linked(docs, stand, pairs))
+    links = linked(docs, stand, pairs)
+    roots = components(links)
 
     # what hubs did not join meets all others of its shingle that are in another component
-    rows = settle(rooted(met.select("token", "hub", "sid", "n", "pos"), roots, "sid", "root"))
-    size = rows.groupBy("token").agg(F.count("*").alias("_size"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("token", "_size")
-    rows = settle(rows.join(size, "token"))
-    more = few_by_few(docs, stand, rows.filter(F.col("_size") <= FEW), pairs).unionByName(many_by_blocks(docs, stand, rows.filter(F.col("_size") > FEW)))
-    upper = components(more)
+    named = materialize(rooted(met.select("token", "hub", "sid", "n", "pos"), roots, "sid", "root"))
+    discard(met, links)
+    size = named.groupBy("token").agg(F.count("*").alias("_size"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("token", "_size")
+    rows = materialize(named.join(size, "token"))
+    discard(named)
+    few, many = few_by_few(docs, stand, rows.filter(F.col("_size") <= FEW), pairs), many_by_blocks(docs, stand, rows.filter(F.col("_size") > FEW))
+    upper = components(few.unionByName(many))
+    discard(rows, pairs, stand, few, many)
 
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")
     classed = members.filter("n > 0").groupBy("sid").agg(F.min(row).alias("first"))

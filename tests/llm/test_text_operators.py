@@ -72,6 +72,7 @@ def components(data):
 def test_ngram_join(spark, monkeypatch, few):
     monkeypatch.setattr(ngram_join, "FEW", few)
     monkeypatch.setattr(ngram_join, "IN_BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "PARTS", 4)
     data = corpus.rows()
     got = Counter(tuple(r) for r in ngram_join.join_components(corpus.crowded(corpus.frame(spark, data))).collect())
     assert got == components(data)
