@@ -46,8 +46,8 @@ SKETCH, FILTER, CUTS = 1 << 22, 1 << 24, 256
 COUNTED = 2_000_000
 #: Sets that begin with a shingle, up to which all its pairs are formed; beyond it they are compared in blocks.
 FEW = 64
-#: Sets and shingles of a block, on average; parts of the hash range that blocks are compared by; shingles counted at once.
-IN_BLOCK, BLOCK_SHINGLES, PARTS, STRETCH = 1024, 1 << 19, 16, 2048
+#: Sets and shingles of a block, on average; shingles counted at once.
+IN_BLOCK, BLOCK_SHINGLES, STRETCH = 1024, 1 << 19, 2048
 #: Hubs that a group of near copies meets.
 HUBS = 4
 #: Fingerprints that a task remembers so as not to repeat the rows of exact copies.
@@ -387,15 +387,21 @@ def many_by_blocks(docs: DataFrame, stand: DataFrame, rows: DataFrame) -> DataFr
     count = group.groupBy("hub").agg(F.count("*").alias("_m"), F.sum("n").alias("_s"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi")
     count = count.select("hub", F.greatest(F.ceil(F.col("_m") / IN_BLOCK), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int").alias("_k"))
     placed = materialize(group.join(count, "hub").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("_k")).cast("int")))
-    sets = materialize(shingle_sets(docs, candidate_filter(stand.join(placed.select("sid").distinct(), "sid")), PARTS).dropDuplicates(["sid", "part"]))
+    sets = materialize(shingle_sets(docs, candidate_filter(stand.join(placed.select("sid").distinct(), "sid")), FRAGMENTS).dropDuplicates(["sid", "part"]))
+    out = materialize(by_blocks(placed, sets, Cell))
+    discard(placed, sets)
+    return out
+
+
+def by_blocks(placed: DataFrame, sets: DataFrame, kind: type[Cell]) -> DataFrame:
+    """What pairs of blocks of a hub find, each read as a stream. placed: hub, sid, n, root, block, and _k, the hub's blocks; sets: sid, part, hashes."""
     other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
     cells = placed.withColumn("_o", other).select("hub", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "sid", "n", "root")
     roster = cells.withColumn("part", F.lit(-1)).withColumn("hashes", F.lit(None).cast("array<bigint>"))
     pieces = cells.select("hub", "i", "j", "sid").distinct().join(sets, "sid")
     stream = roster.unionByName(pieces, allowMissingColumns=True).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "part")
-    out = materialize(stream.select("hub", "i", "j", "part", "block", "sid", "n", "root", "hashes").mapInArrow(trimmed(compared), "a bigint, b bigint").distinct())
-    discard(placed, sets)
-    return out
+    rows = stream.select("hub", "i", "j", "part", "block", "sid", "n", "root", "hashes")
+    return rows.mapInArrow(trimmed(lambda batches: compared(batches, kind)), "a bigint, b bigint").distinct()
 
 
 class Cell:
@@ -463,7 +469,7 @@ class Cell:
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
 
 
-def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compared(batches: Iterator[pa.RecordBatch], kind: type[Cell]) -> Iterator[pa.RecordBatch]:
     """The links (a, b) of each cell. Rows come sorted by cell and fragment, a cell's sets first (as fragment -1)."""
     cell = None
     for batch in batches:
@@ -476,7 +482,7 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if cell is None or tuple(keys[a, :3].tolist()) != cell.key:
                 if cell is not None:
                     yield cell.links()
-                cell = Cell(rows)
+                cell = kind(rows)
             else:
                 cell.add(rows, int(keys[a, 3]))
     if cell is not None:

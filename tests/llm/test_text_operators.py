@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from pathlight.llm import bpe, chat, common, katz, licenses, mixing, ngram_join, pii, quality, toxicity
+from pathlight.llm import bpe, chat, common, licenses, mixing, ngram_join, pii, quality, toxicity
 from tests.llm import corpus
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,7 +72,6 @@ def components(data):
 def test_ngram_join(spark, monkeypatch, few):
     monkeypatch.setattr(ngram_join, "FEW", few)
     monkeypatch.setattr(ngram_join, "IN_BLOCK", 3)
-    monkeypatch.setattr(ngram_join, "PARTS", 4)
     data = corpus.rows()
     got = Counter(tuple(r) for r in ngram_join.join_components(corpus.crowded(corpus.frame(spark, data))).collect())
     assert got == components(data)
@@ -144,40 +143,6 @@ def test_redaction_keeps_rows(spark):
     assert got[3000].text is None and got[3].text == corpus.rows()[3][1]
 
 
-def test_katz(spark):
-    data = corpus.rows()
-    got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3), round(r.score, 3)) for r in katz.score(corpus.crowded(corpus.frame(spark, data))).collect())
-    docs = [(i, zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1, [*low(t).encode().split(), None]) for i, t, *_ in data]
-    one, two = Counter(), Counter()
-    for _, held, w in docs:
-        if not held:
-            one.update(w)
-            two.update(zip([None, *w[:-1]], w, strict=True))
-    size, types = sum(one.values()), len(one)
-    hist = lambda c: np.array([sum(c.values()), len(c), *[sum(v == r for v in c.values()) for r in range(1, 7)]])
-    d1, d2 = katz.discounts(hist(one)), katz.discounts(hist(two))
-    f = lambda r, d: r * (d[r - 1] if r <= 5 else 1)
-    unknown = 1 - sum(f(r, d1) for r in one.values()) / size
-    p1 = lambda w: f(one[w], d1) / size if one[w] else unknown
-    after = defaultdict(dict)
-    for (h, w), r in two.items():
-        after[h][w] = r
-    model = {}
-    for h, seen in after.items():
-        free = sum(r - f(r, d2) for r in seen.values())
-        more = free <= 1e-12
-        total = sum(seen.values()) + more
-        model[h] = (total, (1 if more else free) / total / (1 - sum(p1(w) for w in seen)))
-        assert math.isclose(sum(f(r, d2) for r in seen.values()) / total + model[h][1] * (1 - sum(p1(w) for w in seen)), 1)
-    p = lambda h, w: p1(w) if h not in model else f(after[h][w], d2) / model[h][0] if w in after[h] else model[h][1] * p1(w)
-    want = Counter()
-    for i, held, w in docs:
-        s = sum(math.log10(p(h, x)) for h, x in zip([None, *w[:-1]], w, strict=True))
-        b = sum(math.log10((one[x] + 0.5) / (size + 0.5 * (types + 1))) for x in w)
-        want[i, held, len(w), sum(one[x] > 0 for x in w), size, round(b, 3), round(s, 3)] += 1
-    assert got == want and katz.score(corpus.empty(spark)).count() == 0
-
-
 def test_toxicity(spark):
     import random
 
