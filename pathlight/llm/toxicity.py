@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlight.llm.common import _CODES, bytes_of, crc_mod, documents, hash_phrase, materialize, slices, span_hashes, text_or_empty, words
+from pathlight.llm.common import _CODES, bytes_of, crc_mod, discard, documents, hash_phrase, materialize, slices, span_hashes, text_or_empty, trimmed, words
 
 #: Labelled rows that are learnt from at most, and how ten parts of them are dealt.
 SAMPLE_ROWS, DEAL = 16_000, (5, 3, 2)
-#: Toxic texts that hold a lexicon entry at least, its log odds and its likelihood ratio at least, entries at most.
-LEAST_TEXTS, LEAST_ODDS, LEAST_RATIO, MOST_ENTRIES = 4, 2.0, 16.0, 20_000
+#: Toxic texts that hold a lexicon entry at least, its log odds and its likelihood ratio at least. The bounded sample bounds the entries.
+LEAST_TEXTS, LEAST_ODDS, LEAST_RATIO = 4, 2.0, 16.0
 #: Bytes of the word beginnings.
 BEGINNINGS = (4, 5, 6, 7, 8, 9)
 TREES, DEPTH, RATE, BINS, LEAST_ROWS = 80, 3, 0.15, 32, 10
@@ -259,7 +259,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         return Lexicon()
     term = lambda x, share: F.when(x > 0, x * F.log(x / F.col("n") / share)).otherwise(0.0)
     ratio = 2 * (term(F.col("bad"), rate) + term(F.col("n") - F.col("bad"), 1 - rate))
-    kept = counts.filter(F.col("bad") >= LEAST_TEXTS).withColumn("odds", odds).filter((F.col("odds") >= LEAST_ODDS) & (ratio >= LEAST_RATIO)).orderBy(F.desc("odds"), "part", "key").limit(MOST_ENTRIES).collect()
+    kept = counts.filter(F.col("bad") >= LEAST_TEXTS).withColumn("odds", odds).filter((F.col("odds") >= LEAST_ODDS) & (ratio >= LEAST_RATIO)).collect()
     out = Lexicon()
     for p in (0, *BEGINNINGS):
         mine = sorted((np.int64(r["key"]).view(np.uint64), r["odds"]) for r in kept if r["part"] == p)
@@ -284,6 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     got = rows.filter("part > 0").mapInArrow(run, "part int, toxic int, x array<double>").orderBy("part", "toxic", "x").collect()
     x = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES))
     y, part = np.array([float(r["toxic"] > 0) for r in got]), np.array([r["part"] for r in got])
+    discard(sample, rows)
     start, trees = fit_trees(x[part == 1], y[part == 1])
     model = Model(lexicon, start, trees, (np.empty(0), np.empty(0)))
     held = part == 2
@@ -303,7 +304,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, SCORES)
+    return rows.mapInArrow(trimmed(run), SCORES)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
