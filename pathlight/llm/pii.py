@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlight.llm.common import documents, text_or_empty
+from pathlight.llm.common import documents, slices, text_or_empty, trimmed
 
 Span = tuple[str, int, int]
 
@@ -163,7 +164,7 @@ _RUNS = [(re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[^\W\d_A-ZÀ-ÖØ
 
 def shape(token: str) -> str:
     """Digits as 9, runs of capitals as X, runs of other letters as x; punctuation stays."""
-    s = _NUMBER.sub(lambda m: "9" * min(len(m.group()), 20), token[:200])
+    s = _NUMBER.sub(lambda m: "9" * min(len(m.group()), 20), token)
     for pattern, sign in _RUNS:
         s = pattern.sub(sign, s)
     return s
@@ -324,11 +325,22 @@ def core(kind: str, text: str, start: int, end: int) -> Span | None:
     return (kind, m.start(), m.end()) if ok else None
 
 
-def touches(span: Span, others: list[Span]) -> bool:
-    return any(span[1] < b and a < span[2] for _, a, b in others)
+class Taken:
+    """Spans that others must not touch, asked in logarithmic time."""
 
+    def __init__(self, spans: list[Span]):
+        self.starts, self.ends, last = [], [], 0
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            last = max(last, b)
+            self.starts.append(a)
+            self.ends.append(last)  # the furthest end so far
 
-def parts_of(kind: str, text: str, words: list[tuple[int, int]], taken: list[Span]) -> list[Span]:
+    def touch(self, span: Span) -> bool:
+        before = bisect_left(self.starts, span[2])
+        return before > 0 and self.ends[before - 1] > span[1]
+
+
+def parts_of(kind: str, text: str, words: list[tuple[int, int]], taken: Taken) -> list[Span]:
     """The valid spans of runs of words that touch none of `taken`: those that cover most words, then those with the fewest separators inside, then the fewest."""
     n = len(words)
     digits = [len(digits_of(text[a:b])) for a, b in words]
@@ -345,7 +357,7 @@ def parts_of(kind: str, text: str, words: list[tuple[int, int]], taken: list[Spa
                 break
             if k > i:
                 apart += ends[k - 1] + starts[k]
-            if (s := core(kind, text, words[i][0], words[k][1])) and not touches(s, taken):
+            if (s := core(kind, text, words[i][0], words[k][1])) and not taken.touch(s):
                 rest = best[k + 1]
                 mine = (rest[0] + k + 1 - i, rest[1] - apart, rest[2] - 1)
                 if mine > score:
@@ -359,6 +371,17 @@ def parts_of(kind: str, text: str, words: list[tuple[int, int]], taken: list[Spa
     return out
 
 
+def words_before(text: str, at: int, n: int = 2) -> list[str]:
+    """The last n words that end before a place."""
+    reach = 64
+    while True:
+        low = max(0, at - reach)
+        found = [m for m in _TOKEN.finditer(text, low, at)][-n:]
+        if not low or (len(found) == n and found[0].start() > low):
+            return [m.group() for m in found]
+        reach *= 4
+
+
 def crf_spans(texts: list[str], crf: Crf, bases: list[list[Span]]) -> list[list[Span]]:
     """The CRF's valid spans in each text that touch none of the patterns' spans (bases)."""
     runs, where = [], []
@@ -381,12 +404,13 @@ def crf_spans(texts: list[str], crf: Crf, bases: list[list[Span]]) -> list[list[
             else:
                 groups.append([(a, b)])
         for g in groups:
-            before = _TOKEN.findall(text[max(0, g[0][0] - 60) : g[0][0]])[-2:]
-            after = _TOKEN.findall(text[g[-1][1] : g[-1][1] + 60])[:1]
+            before = words_before(text, g[0][0])
+            after = [m.group()] if (m := _TOKEN.search(text, g[-1][1])) else []
             tokens = [*before, *[text[a:b] for a, b in g], *after]
             runs.append(crf.scores(tokens)[len(before) : len(before) + len(g)])
             where.append((i, g))
     out: list[list[Span]] = [[] for _ in texts]
+    taken = [Taken(b) for b in bases]
     for (i, g), labels in zip(where, viterbi(runs, crf.move), strict=True):
         j = 0
         while j < len(g):
@@ -395,11 +419,11 @@ def crf_spans(texts: list[str], crf: Crf, bases: list[list[Span]]) -> list[list[
                 k += 1
             if kind != "O":
                 s = core(kind, texts[i], g[j][0], g[k - 1][1])
-                if s and not touches(s, bases[i]):
+                if s and not taken[i].touch(s):
                     out[i].append(s)
                 elif k > j + 1:
                     # values beside each other, or beside a pattern's
-                    out[i] += parts_of(kind, texts[i], g[j:k], bases[i])
+                    out[i] += parts_of(kind, texts[i], g[j:k], taken[i])
             j = k
     return out
 
@@ -423,13 +447,13 @@ def report(docs: DataFrame) -> DataFrame:
     crf = train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = all_spans(batch.column("text").to_pylist(), crf)
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS[:4]]
             sha = [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(sha, pa.string()), pa.array([written(x) for _, x in found], pa.string())], [f.split()[0] for f in REPORT.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, REPORT)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(trimmed(run), REPORT)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -447,7 +471,7 @@ def redact(docs: DataFrame) -> DataFrame:
     crf, names = train(), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             k = batch.schema.get_field_index("text")
             texts = batch.column(k).to_pylist()
             found = all_spans([t or "" for t in texts], crf)
@@ -460,7 +484,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[c] = pa.array([len(b) if a != b else n for a, b, n in zip(texts, new, old, strict=True)], batch.schema.field(c).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
