@@ -4,7 +4,8 @@ Every text becomes words (runs of 0-9, A-Z, a-z and non-ASCII, A-Z lowered). Eac
 hash of k words is looked up in the template positions; a hit votes for the diagonal
 `document position - template position`. A phrase stands where its diagonal has all
 votes. For long templates, neighbouring diagonals merge, as edits shift the rest of a
-text by a word or two, and the merged span is verified against the words themselves.
+text by a word or two, and the merged span is verified against the words themselves, window
+by window over its whole length.
 
 The hashes of a batch pass a bit table of template hashes before they become rows; only
 what the table can't exclude goes to Spark's join, which decides. The template table is
@@ -174,12 +175,28 @@ def shared_words(a: list[str], b: list[str]) -> int:
     return int(best[-1])
 
 
+def matched(template: list[str], have: list[str], start: int, end: int) -> list[tuple[int, int, float]]:
+    """Where a merged span holds a template, with scores: windows of two template lengths in steps of one, so that a copy anywhere is in one of them whole. Of overlapping ones the best stays."""
+    n, out = len(template), []
+    for a in range(start, max(end - n, start) + n, n):
+        b = min(end, a + 2 * n)
+        score = shared_words(template, have[a:b]) / n
+        if score < LEAST_SCORE or a >= b:
+            continue
+        if out and out[-1][1] > a:
+            if score > out[-1][2]:
+                out[-1] = (a, b, score)
+        else:
+            out.append((a, b, score))
+    return out
+
+
 def verified(rows: DataFrame, found: DataFrame, templates: list[Template]) -> DataFrame:
     """Checks each span's words against its template's and sums up by row."""
     text = [t.words for t in templates]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out = []
             for x in batch.to_pylist():
                 have, kept = word_list(x["text"]), []
@@ -189,10 +206,7 @@ def verified(rows: DataFrame, found: DataFrame, templates: list[Template]) -> Da
                         if have[a:b] == text[t]:
                             kept.append((templates[t], a, b, 1.0))
                     else:
-                        # a span of merged diagonals may hold several copies: check one template's length from each start
-                        score = shared_words(text[t], have[a : min(b, a + 2 * len(text[t]))]) / len(text[t])
-                        if score >= LEAST_SCORE:
-                            kept.append((templates[t], a, b, score))
+                        kept += [(templates[t], *w) for w in matched(text[t], have, a, b)]
                 starts = [a for t, a, _, _ in kept if t.phrase]
                 base = sorted({t.label for t, _, _, _ in kept if t.phrase})
                 every = sorted({t.label for t, _, _, _ in kept})
