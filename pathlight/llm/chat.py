@@ -11,7 +11,8 @@ undone exactly. The loss mask is a list of spans, one for each assistant text.
 
 Null roles and texts count as empty, null turns come first, rows of equal turn go by role
 and text, repeated rows are turns of their own. An unknown layout raises for a table, and
-for a JSON line leaves the row out of the turns and in `unmapped`. An empty table gives an
+for a JSON line leaves the row out of the turns and in `unmapped`. Elements of an array may
+lack fields that others have (null, so empty); an empty array is a conversation without turns. An empty table gives an
 empty result; fields that no mapping names, clashing or not, are left aside.
 """
 
@@ -132,12 +133,15 @@ def _under(prefix: str, keys: Column) -> Column:
 
 
 def json_fingerprint(line: Column) -> Column:
-    """The fingerprint of one JSON object's nested field paths."""
-    paths = F.coalesce(F.json_object_keys(line), F.array().cast("array<string>"))
+    """The fingerprint of one JSON object's nested field paths: those of any element of an array, and of an empty array those that its layout needs."""
+    none = F.array().cast("array<string>")
+    paths = F.coalesce(F.json_object_keys(line), none)
     for m in MAPPINGS:
         if m.array:
-            inner = F.json_object_keys(F.get_json_object(line, f"$.{m.array}[0]"))
-            paths = F.concat(paths, F.coalesce(_under(f"{m.array}[].", inner), F.array().cast("array<string>")))
+            items = F.from_json(F.get_json_object(line, f"$.{m.array}"), "array<string>")
+            inner = F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), none)))
+            needed = F.array(*[F.lit(p) for p in m.needs])
+            paths = F.concat(paths, F.when(F.size(items) == 0, needed).otherwise(F.coalesce(_under(f"{m.array}[].", inner), none)))
     kept = F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, PATHS))))
     return F.sha2(F.array_join(kept, "\n"), 256)
 
