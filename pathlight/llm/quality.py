@@ -3,7 +3,8 @@
 Every rule is a predicate over measures of a text. `ordered` estimates each rule's cost
 and rejection rate on a bounded sample and sorts the rules by rejection per cost;
 `rejected_by` is one CASE in that order, so a text that an early rule rejects never pays
-for a later one. The verdict does not depend on the order, only the work does.
+for a later one. A text's words are made once for all rules. The verdict does not depend on
+the order, only the work does. Windows of words are told apart by a 64-bit hash.
 
 A null or empty text has no words and is rejected for that. Repeated rows get equal
 results, an empty table an empty one; columns of other names pass through untouched.
@@ -18,10 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlight.llm.common import documents, materialize, text_or_empty
+from pathlight.llm.common import discard, documents, materialize, text_or_empty
 
-#: Rows of the sample that costs and rejection rates are estimated on.
-SAMPLE_ROWS = 400
+#: Rows of the sample that costs and rejection rates are estimated on, and how often each is evaluated for its cost.
+SAMPLE_ROWS, REPEATS = 400, 6
 MIN_WORDS = 50
 #: Percent of words in repeated 3-word windows; symbols and exclamation marks per 100 words.
 MOST_REPEATED, MOST_SYMBOLS, MOST_EXCLAIMED = 50, 40, 50
@@ -42,32 +43,31 @@ def words(text: Column) -> Column:
 
 
 def repeated_words(word: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more: sorts the windows, so n log n."""
+    """Words inside 3-word windows that occur twice or more: sorts the windows by a 64-bit hash of their words, so n log n."""
 
     def marked(windows: Column) -> Column:
-        same = lambda a, b: (a["0"] == b["0"]) & (a["1"] == b["1"]) & (a["2"] == b["2"])
-        twin = lambda x, i: F.coalesce(same(x, F.get(windows, i + 1)), F.lit(False)) | F.coalesce(same(x, F.get(windows, i - 1)), F.lit(False))
+        twin = lambda x, i: F.coalesce(x["h"] == F.get(windows, i + 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(windows, i - 1)["h"], F.lit(False))
         hit = F.filter(windows, twin)
-        return F.size(F.array_distinct(F.flatten(F.transform(hit, lambda x: F.array(x["3"], x["3"] + 1, x["3"] + 2)))))
+        return F.size(F.array_distinct(F.flatten(F.transform(hit, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
     n = F.size(word) - 2
-    zipped = F.sort_array(F.arrays_zip(F.slice(word, 1, n), F.slice(word, 2, n), F.slice(word, 3, n), F.sequence(F.lit(0), n - 1)))
-    return F.when(n >= 2, let(zipped, marked)).otherwise(0)
+    window = lambda i: F.struct(F.xxhash64(F.get(word, i), F.get(word, i + 1), F.get(word, i + 2)).alias("h"), i.alias("i"))
+    return F.when(n >= 2, let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), window)), marked)).otherwise(0)
 
 
 def lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Each measure as an expression of its own."""
+def measures(text: Column, word: Column) -> dict[str, Column]:
+    """Each measure as an expression over a text and its words."""
     return {
-        "n_words": F.size(words(text)).cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
+        "n_words": F.size(word).cast("long"),
+        "word_chars": F.length(F.array_join(word, "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_lines": F.size(lines(text)).cast("long"),
         "n_dup_lines": let(lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": let(words(text), repeated_words).cast("long"),
+        "n_repeat_words": repeated_words(word).cast("long"),
         "n_capitals": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
         "n_exclaimed": F.regexp_count(text, F.lit("!")).cast("long"),
     }
@@ -91,19 +91,44 @@ RULES = [
 ]
 
 
+def _rejects(rule: Rule, text: Column) -> Callable[[Column], Column]:
+    return lambda word: rule.rejects(measures(text, word))
+
+
+def sample_of(docs: DataFrame, text: str) -> DataFrame:
+    """SAMPLE_ROWS texts by the smallest hashes of all rows; a first cut by the hash spares sorting the rest."""
+    rows = docs.select(text_or_empty(text).alias("_t")).withColumn("_h", F.xxhash64("_t"))
+    share = min(1.0, 4 * SAMPLE_ROWS / max(docs.count(), 1))
+    return rows.filter(F.pmod("_h", F.lit(1_000_000)) < int(1_000_000 * share) + 1).orderBy("_h").limit(SAMPLE_ROWS).select("_t")
+
+
 def ordered(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> list[Rule]:
-    """The rules by rejection per second, highest first, as a sample shows them."""
-    sample = materialize(docs.select(text_or_empty(text).alias("_t")).limit(SAMPLE_ROWS))
-    found = measures(F.col("_t"))
+    """The rules by rejection per second, highest first, as a sample shows them.
+
+    A rule's cost is the time of evaluating it on the sample REPEATS times, less that of the words alone, which all rules share.
+    """
+    sample = materialize(sample_of(docs, text))
+    spread = sample.repartition(1).select("_t", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("_r"))
+    t = F.col("_t")
+    shares = sample.agg(*[F.avg(let(words(t), _rejects(r, t)).cast("int")).alias(r.name) for r in rules]).collect()[0]
+
+    def seconds(rejects: Callable[[Column], Column]) -> float:
+        run = spread.select(let(words(t), rejects).alias("x"))
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            run.write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    alone = seconds(lambda w: F.size(w) < 0)
 
     def worth(rule: Rule) -> float:
-        rate = sample.agg(F.avg(rule.rejects(found).cast("int")).alias("r"))
-        rate.collect()  # compiles the plan, so that the clock sees the rule alone
-        began = time.perf_counter()
-        r = rate.collect()[0]["r"] or 0.0
-        return r / max(time.perf_counter() - began, 1e-6)
+        return (shares[rule.name] or 0.0) / max(seconds(_rejects(rule, t)) - alone, alone / 100)
 
-    return [r for _, r in sorted(((-worth(r), r) for r in rules), key=lambda x: (x[0], x[1].name))]
+    out = [r for _, r in sorted(((-worth(r), r) for r in rules), key=lambda x: (x[0], x[1].name))]
+    discard(sample)
+    return out
 
 
 def rejected_by(rules: list[Rule], found: dict[str, Column]) -> Column:
@@ -116,26 +141,18 @@ def rejected_by(rules: list[Rule], found: dict[str, Column]) -> Column:
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, with their columns."""
-    verdict = rejected_by(ordered(docs, text=text), measures(text_or_empty(text)))
-    return docs.filter(verdict.isNull())
+    order, t = ordered(docs, text=text), text_or_empty(text)
+    return docs.filter(let(words(t), lambda w: rejected_by(order, measures(t, w)).isNull()))
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, the base measures, base_failed and kept. The measures are columns here, so the cascade adds only the others."""
     order = ordered(docs, text=text)
-    made = docs.select(F.col("doc_id"), text_or_empty(text).alias("_t"))
-    made = made.withColumn("_w", words(F.col("_t")))
-    out = made.select(
-        "doc_id",
-        "_t",
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        measures(F.col("_t"))["n_symbols"].alias("n_symbols"),
-        measures(F.col("_t"))["n_dup_lines"].alias("n_dup_lines"),
-        repeated_words(F.col("_w")).cast("long").alias("n_repeat_words"),
-    )
+    made = docs.select(F.col("doc_id"), text_or_empty(text).alias("_t")).withColumn("_w", words(F.col("_t")))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    found = measures(F.col("_t")) | {c: F.col(c) for c in base}
+    own = measures(F.col("_t"), F.col("_w"))
+    out = made.select("doc_id", "_t", *[own[c].alias(c) for c in base])
+    found = own | {c: F.col(c) for c in base}
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return out.select("doc_id", *base, failed.alias("base_failed"), rejected_by(order, found).isNull().alias("kept"))
 

@@ -50,6 +50,27 @@ def test_long_license_with_an_insertion(spark):
     assert r.labels == "bsd" and r.base_labels == "" and r.score > 0.9 and r.spans[0].start <= 3
 
 
+def test_license_after_a_repeated_stretch(spark):
+    words = licenses.word_list(licenses.LIBRARY["bsd"])
+    text = " ".join([*(["filler", *words[10:16]] * 40), *words, "end"])
+    (r,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r.labels == "bsd" and r.score > 0.9 and any(s.end - s.start <= 3 * len(words) and s.end >= 280 for s in r.spans)
+
+
+def test_windows_over_a_merged_span_against_brute_force():
+    import random
+
+    rng = random.Random(2)
+    template = [f"t{k}" for k in range(12)]
+    for _ in range(200):
+        have = [rng.choice(template + ["x"] * 20) for _ in range(60)]
+        at = rng.randint(0, 48)
+        have[at : at + 12] = template
+        found = licenses.matched(template, have, rng.randint(0, at), 60)
+        assert max((s for *_, s in found), default=0) == 1.0 and all(a < b for a, b, _ in found)
+        assert any(a <= at and at + 12 <= b for a, b, s in found if s == 1.0)
+
+
 def components(data):
     sets = []
     for _, text, *_ in data:
@@ -182,8 +203,13 @@ def test_quality(spark):
 
 def test_quality_order_does_not_change_the_verdict(spark):
     docs = corpus.crowded(corpus.frame(spark))
-    measures = quality.measures(common.text_or_empty())
-    kept = {order: sorted(str(r[0]) for r in docs.filter(quality.rejected_by(list(rules), measures).isNull()).select("doc_id").collect()) for order, rules in (("forth", quality.RULES), ("back", quality.RULES[::-1]))}
+    text = common.text_or_empty()
+
+    def verdict(rules):
+        return quality.let(quality.words(text), lambda w: quality.rejected_by(list(rules), quality.measures(text, w)).isNull())
+
+    kept = {order: sorted(str(r[0]) for r in docs.filter(verdict(rules)).select("doc_id").collect()) for order, rules in (("forth", quality.RULES), ("back", quality.RULES[::-1]))}
+    assert {r.name for r in quality.ordered(docs)} == {r.name for r in quality.RULES} and quality.sample_of(docs, "text").count() == docs.count()
     assert kept["forth"] == kept["back"] == sorted(str(r.doc_id) for r in quality.keep_good(docs).collect())
     assert {"1", "2"} <= set(kept["forth"]) and not {"3000", "3004", "3005"} & set(kept["forth"])
     assert quality.measured(corpus.empty(spark)).count() == 0
@@ -203,7 +229,7 @@ def test_chat_round_trip(spark):
 
 
 def test_chat_layouts(spark):
-    lines = ['{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "extra": 1}', '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}', '{"instruction": "q", "output": "a"}', '{"prompt": "q", "completion": "a"}', '{"question": "q", "answer": "a", "conv_id": "7"}', '{"what": 1}', "broken"]
+    lines = ['{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "extra": 1}', '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}', '{"instruction": "q", "output": "a"}', '{"prompt": "q", "completion": "a"}', '{"question": "q", "answer": "a", "conv_id": "7"}', '{"messages": []}', '{"what": 1}', "broken"]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     got = Counter((r.turn, r.role, r.text) for r in chat.json_turns(df).collect())
     assert got == Counter({(0, "user", "q"): 5, (1, "assistant", "a"): 5}) and chat.unmapped(df).count() == 2
@@ -213,6 +239,14 @@ def test_chat_layouts(spark):
         chat.canonical_turns(spark.range(1))
 
 
+def test_chat_arrays_of_uneven_elements(spark):
+    lines = ['{"messages": [{"role": "system"}, {"role": "user", "content": "q"}, {"content": "r", "role": "assistant", "x": 1}]}', '{"conversations": [], "conv_id": "8"}', '{"messages": [{"content": "lone"}, {"role": "user"}]}', '{"messages": null}', '{"messages": [1, "x"]}']
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = Counter((r.turn, r.role, r.text) for r in chat.json_turns(df).collect())
+    assert got == Counter({(0, "system", ""): 1, (1, "user", "q"): 1, (2, "assistant", "r"): 1, (0, "", "lone"): 1, (1, "user", ""): 1})
+    assert sorted(r.value for r in chat.unmapped(df).collect()) == sorted(lines[3:])
+
+
 def test_mixing(spark):
     data = [(i, "w " * (1 + i % 9), "en", f"s{min(i % 7, 4)}", 0) for i in range(600)] + [(700, None, None, None, None), (701, "a b c", None, None, None), (1, "w w", "en", "s1", 0)]
     docs = corpus.frame(spark, data)
