@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathlight.functions import scalar
+from pathlight.plans.numbering import numbered
 
 CONGESTED_MS = 20.0
 
@@ -69,11 +68,10 @@ def accuracy(judged: DataFrame) -> DataFrame:
 def detection_rate(judged: DataFrame) -> DataFrame:
     """One row: which share of the k truly largest links is among the k largest estimates; k is a quarter of the identifiable links, 1 to 3."""
     ok = judged.filter("identifiable")
-    by = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "link_id"))
-    ranked = ok.select(by("truth").alias("_t"), by("x").alias("_e"), F.count("*").over(Window.partitionBy()).alias("_n"))
-    k = F.greatest(F.lit(1), F.least(F.lit(3), F.floor(F.col("_n") / 4)))
-    hit = (F.col("_t") <= k) & (F.col("_e") <= k)
-    return ranked.agg(F.max(k).cast("bigint").alias("k"), F.coalesce(F.sum(hit.cast("int")) / F.max(k), F.lit(0.0)).alias("detection_rate"))
+    best = lambda c, out: ok.orderBy(F.desc(c), "link_id").limit(3).select("link_id", F.row_number().over(Window.orderBy(F.desc(c), "link_id")).alias(out))
+    k = ok.agg(F.when(F.count("*") > 0, F.greatest(F.lit(1), F.least(F.lit(3), F.floor(F.count("*") / 4)))).cast("bigint").alias("k"))
+    hits = best("truth", "_t").join(best("x", "_e"), "link_id").join(k, (F.col("_t") <= F.col("k")) & (F.col("_e") <= F.col("k"))).agg(F.count("*").alias("_h"))
+    return k.crossJoin(hits).select("k", F.coalesce(F.col("_h") / F.col("k"), F.lit(0.0)).alias("detection_rate"))
 
 
 def half_width(samples: DataFrame, by: list[str], value: str, alpha: float = 0.05) -> DataFrame:
@@ -90,8 +88,9 @@ def conformal_rank(n: Column, alpha: float) -> Column:
 
 def conformal_quantile(residuals: DataFrame, alpha: float = 0.1) -> DataFrame:
     """One row: n and the order statistic of the absolute residuals in column r."""
-    ranked = residuals.select("r", F.row_number().over(Window.orderBy("r", "path_id")).alias("_k"), F.count("*").over(Window.partitionBy()).alias("_n"))
-    return ranked.filter(F.col("_k") == conformal_rank(F.col("_n"), alpha)).select(F.col("_n").cast("bigint").alias("n"), F.col("r").alias("q"))
+    ranked = numbered(residuals.select("r", "path_id"), [F.col("r"), F.col("path_id")], "_k")
+    n = ranked.agg(F.count("*").cast("bigint").alias("n"))
+    return ranked.join(n, F.col("_k") + 1 == conformal_rank(F.col("n"), alpha)).select("n", F.col("r").alias("q"))
 
 
 def node_groups(links: DataFrame, estimate: DataFrame, covered: DataFrame) -> DataFrame:
@@ -114,14 +113,13 @@ def ordered_groups(groups: DataFrame, mode: str = "default") -> DataFrame:
     """Groups with their place in one of five orders; equals go by first link."""
     keys = GROUP_ORDERS[mode]
     first = keys[0](keys[1]) if len(keys) == 2 else F.col(keys[0])
-    return groups.withColumn("place", F.row_number().over(Window.orderBy(first, "first_link")).cast("bigint"))
+    return numbered(groups, [first, F.col("first_link")], "place").withColumn("place", F.col("place") + 1)
 
 
 def z_scores(estimate: DataFrame) -> DataFrame:
     """link_id, x and its distance from the mean in population deviations, 0 where there is no deviation."""
-    whole = Window.partitionBy()
-    mean, sd = F.avg("x").over(whole), F.stddev_pop("x").over(whole)
-    return estimate.select("link_id", "x", F.when(sd > 0, (F.col("x") - mean) / sd).otherwise(0.0).alias("z"))
+    whole = estimate.agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_sd"))
+    return estimate.crossJoin(F.broadcast(whole)).select("link_id", "x", F.when(F.col("_sd") > 0, (F.col("x") - F.col("_m")) / F.col("_sd")).otherwise(0.0).alias("z"))
 
 
 def top_statistics(judged: DataFrame, n: int) -> DataFrame:

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from pathlight.functions import scalar
 from pathlight.operators import infer
-from pathlight.operators.infer import numbered
 from pathlight.plans.lineage import cut
+from pathlight.plans.numbering import numbered
 
 
 def build(edges: DataFrame) -> DataFrame:
     """link_id, src, dst of an undirected simple graph: (i, src, dst) rows in order i, the first of a pair stays, self-loops go."""
     first = edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).agg(F.min(F.struct("i", "src", "dst")).alias("_f"))
-    return numbered(first.select("lo", "hi", "_f.*"), ["i"], "link_id").select("link_id", "src", "dst")
+    return numbered(first.select("lo", "hi", "_f.*"), [F.col("i")], "link_id").select("link_id", "src", "dst")
 
 
 def both_ways(links: DataFrame) -> DataFrame:

@@ -7,12 +7,15 @@ distinct nodes and links.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pathlight.plans.numbering import numbered
+
 #: Traces with a larger share of hops that did not answer are rejected.
 MAX_ANONYMOUS = 0.3
 
@@ -45,22 +48,17 @@ def pairs(seen: DataFrame, label: str = "ip") -> DataFrame:
     return seen.select("meas_idx", "pos", F.col(label).alias("src"), follower.alias("dst")).filter(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Dense numbers from 0. One partition, so for distinct nodes and links only."""
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
-
-
 def nodes(seen: DataFrame, label: str = "ip") -> DataFrame:
     """node_id and label of every label of an accepted trace, in first-seen order."""
     first = seen.groupBy(F.col(label).alias("label")).agg(F.min(F.struct("meas_idx", "pos")).alias("_f"))
-    return numbered(first.select("label", "_f.meas_idx", "_f.pos"), ["meas_idx", "pos"], "node_id").select("node_id", "label")
+    return numbered(first.select("label", "_f.meas_idx", "_f.pos"), [F.col("meas_idx"), F.col("pos")], "node_id").select("node_id", "label")
 
 
 def links(paired: DataFrame) -> DataFrame:
     """link_id, src, dst (labels as first seen) and the unordered pair lo, hi."""
     lo, hi = F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")
     first = paired.groupBy(lo, hi).agg(F.min(F.struct("meas_idx", "pos", "src", "dst")).alias("_f"))
-    return numbered(first.select("lo", "hi", "_f.*"), ["meas_idx", "pos"], "link_id").select("link_id", "src", "dst", "lo", "hi")
+    return numbered(first.select("lo", "hi", "_f.*"), [F.col("meas_idx"), F.col("pos")], "link_id").select("link_id", "src", "dst", "lo", "hi")
 
 
 def paths(seen: DataFrame) -> DataFrame:
@@ -86,15 +84,24 @@ def observations(hops: DataFrame, drop_unanswered: bool = False) -> DataFrame:
     return out.select("path_id", ns.alias("b_ns"), (ns / 1e6).alias("b"))
 
 
-@dataclass(frozen=True)
 class Network:
-    """What inference gives: nodes, links, the accepted paths, the routing matrix and what was observed."""
+    """What inference gives: nodes, links, the accepted paths, the routing matrix and what was observed.
+
+    Each part is a table or a function that makes it; numbers are given out when a part is first asked for.
+    """
+
+    def __init__(self, nodes, links, paths, routing, observed):
+        self._made: tuple[DataFrame | Callable[[], DataFrame], ...] = (nodes, links, paths, routing, observed)
+
+    def _part(self, k: int) -> DataFrame:
+        part = self._made[k]
+        return part() if callable(part) else part
 
-    nodes: DataFrame
-    links: DataFrame
-    paths: DataFrame
-    routing: DataFrame
-    observed: DataFrame
+    nodes = cached_property(lambda self: self._part(0))
+    links = cached_property(lambda self: self._part(1))
+    paths = cached_property(lambda self: self._part(2))
+    routing = cached_property(lambda self: self._part(3))
+    observed = cached_property(lambda self: self._part(4))
 
 
 def collapsed(seen: DataFrame, label: Column) -> DataFrame:
@@ -111,10 +118,10 @@ def infer(hops: DataFrame, label: Column | None = None, most: float = MAX_ANONYM
     if label is not None:
         seen, name = collapsed(seen, label), "label"
     paired = pairs(seen, name)
-    known = links(paired)
     chosen = paths(seen)
     seen_at = observations(hops).join(chosen.select("path_id"), "path_id", "left_semi")
-    return Network(nodes(seen, name), known, chosen, routing(paired, known), seen_at)
+    net = Network(lambda: nodes(seen, name), lambda: links(paired), chosen, lambda: routing(paired, net.links), seen_at)
+    return net
 
 
 def distinct_sequences(hops: DataFrame, traces: DataFrame) -> DataFrame:

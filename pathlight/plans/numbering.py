@@ -14,10 +14,10 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     Rows are dealt by ranges of the order and counted by partition; only the counts, a row for each
     partition, are added up in one place.
     """
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_k")))
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_of_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_in_part")))
     before, offsets = 0, []
-    for p, n in sorted(tuple(r) for r in ranged.groupBy("_p").agg(F.count("*")).collect()):
+    for p, n in sorted(tuple(r) for r in ranged.groupBy("_of_part").agg(F.count("*")).collect()):
         offsets.append((p, before))
         before += n
     starts = F.create_map(*[F.lit(x) for pair in offsets for x in pair]) if offsets else F.lit(None).cast("map<int,bigint>")
-    return ranged.withColumn(name, (F.element_at(starts, F.col("_p")) + F.col("_k")).cast("bigint")).drop("_p", "_k")
+    return ranged.withColumn(name, (F.element_at(starts, F.col("_of_part")) + F.col("_in_part")).cast("bigint")).drop("_of_part", "_in_part")

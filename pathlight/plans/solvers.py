@@ -272,10 +272,12 @@ def laplacian(s: System, lam: float = 0.0) -> Solution:
     return Solution(x, "laplacian", s.residual(x), {"lambda": lam})
 
 
-def em(paths: list[np.ndarray], b: np.ndarray, n: int, rounds: int = 500, tolerance: float = 1e-6) -> Solution:
-    """Multiplicative updates over paths as lists of links; paths without links, or whose fit is 0, give nothing."""
+def em(paths: list[np.ndarray], b: np.ndarray, n: int, weights: np.ndarray | None = None, rounds: int = 500, tolerance: float = 1e-6) -> Solution:
+    """Multiplicative updates over paths as lists of links; paths without links, or whose fit is 0, give nothing. weights: how many paths each one stands for, b being their mean."""
+    weights = np.ones(len(paths)) if weights is None else weights
     use = [(np.unique(p), v) for p, v in zip(paths, b, strict=True) if len(p)]
-    if len(use) < 2:
+    w = np.array([k for p, k in zip(paths, weights, strict=True) if len(p)], float)
+    if w.sum() < 2:
         raise SolveError("expectation maximisation needs two paths with links")
     row = np.repeat(np.arange(len(use)), [len(p) for p, _ in use])
     col, y = np.concatenate([p for p, _ in use]), np.array([v for _, v in use], float)
@@ -285,16 +287,16 @@ def em(paths: list[np.ndarray], b: np.ndarray, n: int, rounds: int = 500, tolera
         ok = fit > 0
         zero = int((~ok).sum())
         ratio = np.divide(y, fit, out=np.zeros_like(y), where=ok)
-        seen = np.bincount(col, ok[row].astype(float), n)
-        gain = np.bincount(col, ratio[row], n)
+        seen = np.bincount(col, (w * ok)[row], n)
+        gain = np.bincount(col, (w * ratio)[row], n)
         new = x * np.divide(gain, seen, out=np.zeros(n), where=seen > 0)
         change = np.abs(new - x)[new > 0] / new[new > 0]
         x = new
         if not len(change) or change.max() < tolerance:
             break
     fit = np.bincount(row, x[col], len(use))
-    rest = sum(float(v) ** 2 for p, v in zip(paths, b, strict=True) if not len(p))
-    return Solution(x, "vardi-em", float(np.sqrt(((fit - y) ** 2).sum() + rest)), {"iterations": t, "tolerance": tolerance, "skipped_empty": len(paths) - len(use), "skipped_zero_denom": zero})
+    rest = sum(float(k) * float(v) ** 2 for p, v, k in zip(paths, b, weights, strict=True) if not len(p))
+    return Solution(x, "vardi-em", float(np.sqrt((w * (fit - y) ** 2).sum() + rest)), {"iterations": t, "tolerance": tolerance, "skipped_empty": len(paths) - len(use), "skipped_zero_denom": zero})
 
 
 SOLVERS: dict[str, Callable[[System], Solution]] = {"tsvd": truncated, "tikhonov": tikhonov, "nnls": nnls, "admm": admm, "irl1": irl1, "laplacian": laplacian}

@@ -79,3 +79,14 @@ def test_errors_and_names():
 def test_em_skips_empty_paths():
     found = S.em([np.array([0]), np.array([1]), np.array([], int)], np.array([2.0, 3.0, 9.0]), 3)
     assert np.allclose(found.x, [2, 3, 0]) and found.metadata["skipped_empty"] == 1
+
+
+def test_expectation_maximisation_by_weights():
+    rng = np.random.default_rng(5)
+    paths = [np.flatnonzero(r) for r in (rng.random((9, 5)) < 0.5)]
+    paths = [p if len(p) else np.array([0]) for p in paths]
+    every, b = [p for p in paths for _ in range(3)], rng.random(27) * 10
+    mean = b.reshape(9, 3).mean(1)
+    one, two = S.em(every, b, 5), S.em(paths, mean, 5, np.full(9, 3))
+    assert np.allclose(one.x, two.x)
+    assert np.isclose(one.residual**2, two.residual**2 + ((b.reshape(9, 3) - mean[:, None]) ** 2).sum())
