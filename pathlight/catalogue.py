@@ -280,13 +280,6 @@ def a23_report_counts(spark, d):
 
 # --- graphs
 
-SPARSE = "(lo * 7 + hi * 13) % 5 = 0"
-
-
-def sparse(spark, d) -> DataFrame:
-    return network(spark, d, "as").links.filter(SPARSE)
-
-
 @query("SELECT node, array_to_string(list_sort(list(DISTINCT nb)), ',') AS neighbors FROM (SELECT src AS node, dst AS nb FROM links UNION ALL SELECT dst, src FROM links) GROUP BY node", "as")
 def g03_neighbors(spark, d):
     return G.neighbors(network(spark, d, "as").links).select("node", F.array_join("neighbors", ",").alias("neighbors"))
@@ -298,31 +291,23 @@ def g02_sizes(spark, d):
     return net.nodes.agg(F.count("*").alias("n_nodes")).crossJoin(net.links.agg(F.count("*").alias("n_links")))
 
 
-BFS_SQL = network_sql("as").replace("WITH hops", "WITH RECURSIVE hops", 1) + f""",
-step AS (SELECT src AS a, dst AS b FROM links WHERE {SPARSE} UNION SELECT dst, src FROM links WHERE {SPARSE}),
-walk(src, dst, path, h) AS (SELECT DISTINCT a, a, [a], 0 FROM step UNION ALL
-  SELECT w.src, s.b, list_append(w.path, s.b), w.h + 1 FROM walk w JOIN step s ON s.a = w.dst WHERE w.h < 5 AND NOT list_contains(w.path, s.b)),
-best AS (SELECT src, dst, h, path, row_number() OVER (PARTITION BY src, dst ORDER BY h, path) AS k FROM walk WHERE src <> dst)"""
+BFS_SQL = network_sql("as").replace("WITH hops", "WITH RECURSIVE hops", 1) + """,
+step AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links),
+reach(src, dst, h) AS (SELECT DISTINCT a, a, 0 FROM step UNION
+  SELECT r.src, s.b, r.h + 1 FROM reach r JOIN step s ON s.a = r.dst WHERE r.h < (SELECT count(DISTINCT a) FROM step)),
+far AS (SELECT src, dst, min(h) AS h FROM reach GROUP BY src, dst),
+walk(src, dst, path, h) AS (SELECT src, dst, [src], 0 FROM far WHERE h = 0 UNION ALL
+  SELECT w.src, s.b, list_append(w.path, s.b), w.h + 1 FROM walk w JOIN step s ON s.a = w.dst JOIN far f ON f.src = w.src AND f.dst = s.b AND f.h = w.h + 1),
+best AS (SELECT src, dst, h, path, row_number() OVER (PARTITION BY src, dst ORDER BY path) AS k FROM walk WHERE src <> dst)"""
 
 
 @query()
 def g05_apsp(spark, d):
-    return G.all_pairs(sparse(spark, d), 5).select("src", "dst", "hops", F.array_join("path", ",").alias("path"))
-
-
-@query()
-def g04_shortest_path(spark, d):
-    one = spark.range(1).select(F.lit(1).cast("bigint").alias("node"))
-    return G.shortest_paths(sparse(spark, d), one, 5).select("src", "dst", "hops", F.array_join("path", ",").alias("path"))
-
-
-@query()
-def g05_apsp_all_links(spark, d):
     return G.all_pairs(network(spark, d, "as").links).select("src", "dst", "hops", F.array_join("path", ",").alias("path"))
 
 
 @query()
-def g04_shortest_path_all_links(spark, d):
+def g04_shortest_path(spark, d):
     one = spark.range(1).select(F.lit(1).cast("bigint").alias("node"))
     return G.shortest_paths(network(spark, d, "as").links, one).select("src", "dst", "hops", F.array_join("path", ",").alias("path"))
 
@@ -600,14 +585,187 @@ def x01_hourly_least_rtt(spark, d):
     return rolling.least_by_window(S.latencies(spark, d)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-# --- solvers, on the AS network unless they need less
+# --- simulation: draws are md5 sums of seed and keys, so SQL can draw the same
+
+
+def draw_sql(*keys: str) -> str:
+    """Of the seed 42 and these SQL expressions: a number in [0, 1)."""
+    return f"(CAST('0x' || substr(md5(concat_ws(':', '42', {', '.join(keys)})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+TRUTH_SQL = "truth AS (SELECT link_id, 1 + ((lo * 7 + hi * 13) % 20) / 2.0::DOUBLE AS x FROM links)"
+NORMAL_SQL = f"sqrt(-2 * ln(greatest({draw_sql("'u'", 'path_id', 'k')}, 1.1102230246251565e-16))) * cos(2 * 3.141592653589793 * {draw_sql("'v'", 'path_id', 'k')})"
+NOISY_SQL = f"""{TRUTH_SQL}, slow AS (SELECT link_id FROM links ORDER BY {draw_sql("'congested'", 'link_id')}, link_id LIMIT 2),
+delays AS (SELECT link_id, CASE WHEN link_id IN (SELECT link_id FROM slow) THEN x * 5 ELSE x END AS x FROM truth),
+totals AS (SELECT path_id, sum(x) AS total FROM coo JOIN delays USING (link_id) GROUP BY path_id),
+drawn AS (SELECT path_id, k, total * exp(0.1 * ({NORMAL_SQL})) AS b FROM totals, (SELECT unnest([1, 2, 3]) AS k))"""
+
+
+def with_sql(name: str, level: str, tables: str, sql: str) -> None:
+    ORACLE_SQL[name] = f"{network_sql(level)},\n{tables}\n{sql}"
+
+
+def true_delays(net: I.Network) -> DataFrame:
+    return net.links.select("link_id", (1 + ((F.col("lo") * 7 + F.col("hi") * 13) % 20) / 2.0).alias("x"))
+
+
+@query("SELECT * FROM (VALUES ('noise_scale', '0.1'), ('noise_model', 'lognormal'), ('congested_links', '2'), ('congestion_factor', '5.0'), ('samples', '3'), ('seed', '42'), ('path_fraction', '1.0')) AS t(name, value)")
+def m07_simulation_defaults(spark, d):
+    from dataclasses import asdict
+
+    from pathlight.plans import simulate
+
+    return spark.createDataFrame([(k, str(v)) for k, v in asdict(simulate.SimConfig()).items()], "name string, value string")
+
+
+@query()
+def m05_congested_delays(spark, d):
+    from pathlight.plans import simulate
+
+    return simulate.congest(true_delays(network(spark, d, "as")), simulate.SimConfig())
+
+
+@query()
+def m06_noisy_samples(spark, d):
+    from pathlight.plans import simulate
+
+    net, cfg = network(spark, d, "as"), simulate.SimConfig()
+    return simulate.samples(E.path_sums(net.routing, simulate.congest(true_delays(net), cfg)), cfg).select("path_id", "k", F.round("b", 6).alias("b"))
+
+
+@query()
+def a07_least_samples(spark, d):
+    from pathlight.plans import simulate
+
+    net, cfg = network(spark, d, "as"), simulate.SimConfig()
+    return simulate.observe(E.path_sums(net.routing, simulate.congest(true_delays(net), cfg)), cfg).select("path_id", F.round("b", 6).alias("b"))
+
+
+with_sql("m05_congested_delays", "as", NOISY_SQL, "SELECT link_id, x FROM delays")
+with_sql("m06_noisy_samples", "as", NOISY_SQL, "SELECT path_id, k, round(b, 6) AS b FROM drawn")
+with_sql("a07_least_samples", "as", NOISY_SQL, "SELECT path_id, round(min(b), 6) AS b FROM drawn GROUP BY path_id")
+
+
+@query()
+def o04_resampled_paths(spark, d):
+    from pathlight.plans import uncertainty
+
+    rows = network(spark, d, "as").observed.select("path_id", "b")
+    return uncertainty.resampled(rows, 5, 42).groupBy("replicate", "path_id").agg(F.count("*").alias("n"))
+
+
+with_sql("o04_resampled_paths", "as", """placed AS (SELECT path_id, row_number() OVER (ORDER BY path_id) - 1 AS i FROM obs), size AS (SELECT count(*) AS n FROM obs),
+draws AS (SELECT replicate, k, CAST('0x' || substr(md5(concat_ws(':', '42', replicate, k)), 1, 13) AS BIGINT) % n AS i
+  FROM size, (SELECT unnest(range(5)) AS replicate), (SELECT i AS k FROM placed))""", "SELECT CAST(replicate AS INT) AS replicate, path_id, count(*) AS n FROM draws JOIN placed USING (i) GROUP BY replicate, path_id")
+
+
+# --- GraphML: a file drawn from the nations, each with one of the ways to name and place a node
+
+
+def graphml_files(spark, d) -> DataFrame:
+    key, name = F.col("n_nationkey"), F.col("n_name")
+    lat, lon = (key * 5 - 60).cast("string"), (key * 11 - 130).cast("string")
+    cell = lambda k, *v: F.concat(F.lit(f'<data key="{k}">'), *v, F.lit("</data>"))
+    label = F.when(key % 3 == 0, cell("d0", name)).when(key % 3 == 1, cell("d3", F.lit('<y:ShapeNode><y:Geometry height="3" x="'), lon, F.lit('" y="'), lat, F.lit('"/><y:NodeLabel visible="true"> '), name, F.lit(" </y:NodeLabel></y:ShapeNode>"))).otherwise("")
+    place = F.when(key % 3 == 0, F.concat(cell("d1", lat), cell("d2", lon))).otherwise("")
+    node = F.concat(F.lit('<node id="'), key.cast("string"), F.lit('">'), label, place, F.lit("</node>"))
+    edge = F.concat(F.lit('<edge source="'), key.cast("string"), F.lit('" target="'), (key + F.col("n_regionkey")).cast("string"), F.lit('"/>'))
+    head = '<graphml xmlns="http://graphml.graphdrawing.org/xmlns" xmlns:y="http://www.yworks.com/xml/graphml">' + "".join(f'<key id="d{i}" for="node" attr.name="{a}"/>' for i, a in enumerate(("LABEL", "Latitude", "longitude"))) + '<key id="d3" for="node"/><graph edgedefault="undirected">'
+    nation = S.table(spark, d, "nation")
+    listed = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), c.alias("t")))), lambda x: x["t"]), "")
+    text = F.concat(F.lit(head), listed(node), listed(edge), F.lit("</graph></graphml>"))
+    return nation.agg(F.encode(text, "UTF-8").alias("content")).select(F.lit("/nations.graphml").alias("path"), "content")
+
+
+@query("""SELECT 'nations' AS topo, CAST(n_nationkey AS BIGINT) AS node_id, CASE WHEN n_nationkey % 3 = 2 THEN 'n' || n_nationkey ELSE n_name END AS label,
+CASE WHEN n_nationkey % 3 = 2 THEN 0.0::DOUBLE ELSE n_nationkey * 5.0::DOUBLE - 60 END AS lat, CASE WHEN n_nationkey % 3 = 2 THEN 0.0::DOUBLE ELSE n_nationkey * 11.0::DOUBLE - 130 END AS lon FROM nation""")
+def s02_graphml_nodes(spark, d):
+    from pathlight.sources import graphml
+
+    return graphml.parsed(graphml_files(spark, d)).filter("kind = 'node'").selectExpr("topo", "i AS node_id", "label", "lat", "lon")
+
+
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i, n_nationkey AS a, n_nationkey + n_regionkey AS b FROM nation),
+k AS (SELECT min(i) AS i FROM e WHERE a <> b AND b IN (SELECT n_nationkey FROM nation) GROUP BY least(a, b), greatest(a, b))
+SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS BIGINT) AS link_id, CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst FROM k JOIN e USING (i)""")
+def s01_graphml_links(spark, d):
+    from pathlight.sources import graphml
+
+    return G.build(graphml.parsed(graphml_files(spark, d)).filter("kind = 'edge'").select("i", "src", "dst"))
+
+
+# --- the other orders of node groups
+
+
+def _orders() -> None:
+    keys = {"default": "first_link", "delay_desc": "max_delay DESC, first_link", "name": "src, first_link"}
+    for mode, by in keys.items():
+
+        def run(spark, d, mode=mode):
+            net = network(spark, d, "as")
+            groups = E.node_groups(net.links, prior_of(net), E.coverage(net.links, net.routing)).withColumn("max_delay", F.round("max_delay", 6))
+            return E.ordered_groups(groups, mode).select("place", "src", "max_delay", "coverage")
+
+        run.__name__ = f"o02_groups_{mode}"
+        query(f"""SELECT CAST(row_number() OVER (ORDER BY {by}) AS BIGINT) AS place, src, max_delay, coverage FROM (SELECT src, min(l.link_id) AS first_link,
+round(greatest(0.0, max(x)), 6) AS max_delay, CAST(sum(coverage) AS BIGINT) AS coverage FROM links l JOIN prior USING (link_id) JOIN cov USING (link_id) GROUP BY src)""", "as")(run)
+
+
+_orders()
+
+
+# --- solvers, on the AS network; what SQL solves by elimination is the network of regions, whose routing has full rank
+
+
+ELIMINATED_SQL = network_sql("region").replace("WITH hops", "WITH RECURSIVE hops", 1) + """,
+used AS (SELECT path_id, b FROM obs), m AS (SELECT count(*) AS n FROM links),
+gram AS (SELECT x.link_id AS i, y.link_id AS j, CAST(count(*) AS DOUBLE) AS v FROM coo x JOIN coo y USING (path_id) GROUP BY ALL),
+grid AS (SELECT p.link_id AS i, q.link_id AS j, coalesce(v, 0.0) AS v FROM links p CROSS JOIN links q LEFT JOIN gram ON gram.i = p.link_id AND gram.j = q.link_id),
+right_side AS (SELECT link_id AS i, sum(b) AS v FROM coo JOIN used USING (path_id) GROUP BY link_id),
+start AS (SELECT g.i, list_append(list(g.v ORDER BY j), any_value(r.v)) AS r FROM (SELECT grid.i, j, grid.v FROM grid) g JOIN right_side r USING (i) GROUP BY g.i),
+step(k, i, r) AS (SELECT CAST(0 AS BIGINT), i, r FROM start UNION ALL
+  SELECT k + 1, i, CASE WHEN i = k THEN list_transform(p, lambda x: x / p[k + 1]) ELSE list_transform(range(1, len(r) + 1), lambda c: r[c] - r[k + 1] / p[k + 1] * p[c]) END
+  FROM (SELECT k, i, r, max(CASE WHEN i = k THEN r END) OVER (PARTITION BY k) AS p FROM step) WHERE k < (SELECT n FROM m)),
+solved AS (SELECT i AS link_id, r[len(r)] AS x FROM step WHERE k = (SELECT n FROM m))"""
+
+
+@query(f"{ELIMINATED_SQL} SELECT link_id, round(x, 6) AS x, TRUE AS identifiable, 'tsvd' AS method FROM solved")
+def l04_least_squares(spark, d):
+    from pathlight.plans import solve
+
+    return solve.solution_rows(solve.settled(network(spark, d, "region")), "tsvd").withColumn("x", F.round("x", 6))
+
+
+@query(f"{ELIMINATED_SQL} SELECT link_id, round(x, 6) AS x, TRUE AS identifiable, 'nnls' AS method FROM solved")
+def l08_non_negative(spark, d):
+    """Where the least squares solution is positive, it is the non-negative one."""
+    from pathlight.plans import solve
+
+    return solve.solution_rows(solve.settled(network(spark, d, "region")), "nnls").withColumn("x", F.round("x", 6))
+
+
+@query(f"{ELIMINATED_SQL} SELECT CAST((SELECT n FROM m) AS INT) AS n_links, CAST(count(*) AS INT) AS n_paths, CAST((SELECT n FROM m) AS INT) AS rank, 0 AS n_unidentifiable FROM used")
+def l02_rank_and_identifiability(spark, d):
+    from pathlight.plans import solve, solvers
+
+    s = solve.system_of(solve.settled(network(spark, d, "region")), False)
+    q = solvers.audit(s.r, s.m)
+    return spark.createDataFrame([(q.n, q.m, q.rank, len(q.unidentifiable))], "n_links int, n_paths int, rank int, n_unidentifiable int")
+
+
+@query("SELECT CAST((SELECT count(*) FROM links) AS INT) AS rank", "region")
+def l17_numerical_rank(spark, d):
+    from pathlight.plans import design
+
+    rows, net = path_rows(spark, d, "region")
+    return spark.createDataFrame([(design.rank(rows, net.links.count()),)], "rank int")
 
 
 def _solver(name: str, method: str) -> None:
     def run(spark, d):
         from pathlight.plans import solve
 
-        return solve.solution_rows(solve.settled(network(spark, d, "region")), method)
+        return solve.solution_rows(solve.settled(network(spark, d, "as")), method)
 
     run.__name__ = name
     query()(run)
@@ -617,7 +775,7 @@ for _name, _method in (("l04_tsvd", "tsvd"), ("l05_tikhonov", "tikhonov"), ("l08
     _solver(_name, _method)
 
 
-def path_rows(spark, d, level: str = "region") -> tuple[DataFrame, I.Network]:
+def path_rows(spark, d, level: str = "as") -> tuple[DataFrame, I.Network]:
     from pathlight.plans import solve
 
     net = solve.settled(network(spark, d, level))
@@ -628,7 +786,7 @@ def path_rows(spark, d, level: str = "region") -> tuple[DataFrame, I.Network]:
 def l13_tomogravity(spark, d):
     from pathlight.plans import solve
 
-    net = solve.settled(network(spark, d, "region"))
+    net = solve.settled(network(spark, d, "as"))
     some = net.routing.select("path_id").distinct()
     held = I.Network(net.nodes, net.links, net.paths.join(some, "path_id", "left_semi"), net.routing, net.observed.join(some, "path_id", "left_semi"))
     return solve.solution_rows(held, "tomogravity")
@@ -647,7 +805,7 @@ def l01_quality(spark, d):
 def l06_gcv_grid(spark, d):
     from pathlight.plans import solve, solvers
 
-    s = solve.system_of(solve.settled(network(spark, d, "region")), False)
+    s = solve.system_of(solve.settled(network(spark, d, "as")), False)
     lam, score = solvers.gcv_curve(s.svd[0], s.svd[1], s.m)
     return spark.createDataFrame([(float(a), float(b)) for a, b in zip(lam, score, strict=True)], "lambda double, score double")
 
@@ -657,7 +815,7 @@ def l15_bootstrap(spark, d):
     from pathlight.plans import uncertainty
 
     rows, net = path_rows(spark, d)
-    return uncertainty.bootstrap(rows, net.links.count(), "nnls", 20)
+    return uncertainty.bootstrap(rows, net.links.count(), "nnls")
 
 
 @query()
@@ -673,7 +831,7 @@ def l18_probe_plan(spark, d):
     from pathlight.plans import design
 
     rows, net = path_rows(spark, d)
-    return design.running_rank(design.recommend(rows.filter("path_id % 500 = 1"), rows.filter("path_id % 500 <> 1"), net.links.count(), 10))
+    return design.running_rank(design.recommend(rows.limit(0), rows, net.links.count(), 50))
 
 
 @query()
@@ -681,7 +839,7 @@ def l19_benchmark(spark, d):
     from pathlight.plans import design, solve, simulate
 
     _, net = path_rows(spark, d)
-    truth = net.links.select("link_id", (1 + ((F.col("lo") * 7 + F.col("hi") * 13) % 20) / 2.0).alias("x"))
+    truth = true_delays(net)
     cfg = simulate.SimConfig()
     seen = simulate.observe(E.path_sums(net.routing, simulate.congest(truth, cfg)), cfg)
     near = [(int(r["a"]), int(r["b"])) for r in G.link_adjacency(net.links).collect()]
@@ -696,7 +854,12 @@ def s20_preferential_attachment(spark, d):
     return synthetic.barabasi_albert(spark, [("ba-30", 30, 2, 1), ("ba-50", 50, 3, 2)])
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT k AS node_id, CAST('0x' || substr(md5(concat_ws(':', '7', 'x', k)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS x, CAST('0x' || substr(md5(concat_ws(':', '7', 'y', k)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS y FROM (SELECT unnest(range(50)) AS k)),
+d AS (SELECT a.node_id AS i, b.node_id AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM n a JOIN n b ON a.node_id < b.node_id),
+e AS (SELECT i, j FROM d WHERE CAST('0x' || substr(md5(concat_ws(':', '7', 'e', i, j)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < 0.3 * exp(-d / (0.4 * (SELECT max(d) FROM d)))),
+reach(a, b) AS (SELECT node_id, node_id FROM n UNION SELECT r.a, CASE WHEN e.i = r.b THEN e.j ELSE e.i END FROM reach r JOIN e ON r.b IN (e.i, e.j)),
+first AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT i * 50 + j AS i, i AS src, j AS dst FROM e UNION ALL SELECT 2500 + a, a - 1, a FROM first WHERE a = b AND a > 0""")
 def s21_waxman(spark, d):
     from pathlight.sources import synthetic
 

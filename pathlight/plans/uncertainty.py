@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pathlight.operators import estimate as E
 from pathlight.plans import solve, solvers
 from pathlight.plans.numbering import numbered
+from pathlight.sources.synthetic import draw
 
 
 def resampled(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -19,7 +20,7 @@ def resampled(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
     placed = numbered(rows, [F.col("path_id")], "_i")
     n = placed.count()
     draws = rows.sparkSession.range(replicates * n).select((F.col("id") / max(n, 1)).cast("int").alias("replicate"), (F.col("id") % max(n, 1)).alias("_k"))
-    drawn = draws.select("replicate", F.pmod(F.xxhash64(F.lit(seed), "replicate", "_k"), F.lit(max(n, 1))).alias("_i"))
+    drawn = draws.select("replicate", (draw(seed, "replicate", "_k") % max(n, 1)).alias("_i"))
     return drawn.join(placed, "_i").drop("_i")
 
 
@@ -82,7 +83,7 @@ def conformal(rows: DataFrame, n: int, method: str, held: float = 0.2, alpha: fl
         paths = solve.distinct(of).toPandas() if solvers.solver_name(method) == "vardi-em" else None
         return solved(solve.Piece(n) if paths is not None else solve.piece_of(of, n), method, near, paths)
 
-    placed = numbered(rows.withColumn("_h", F.xxhash64(F.lit(seed), "path_id")), [F.col("_h"), F.col("path_id")], "_k")
+    placed = numbered(rows.withColumn("_h", draw(seed, "path_id")), [F.col("_h"), F.col("path_id")], "_k")
     count = placed.count()
     x, width, seen = fit(rows), np.inf, None
     if count >= 2:

@@ -69,8 +69,8 @@ def parse(data: bytes) -> tuple[list[tuple[str, float, float]], list[tuple[int,
     return nodes, edges
 
 
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (topo, node_id, label, lat, lon) and edges (topo, i, src, dst) of the files; `graph.build` makes links of the latter."""
+def parsed(files: DataFrame) -> DataFrame:
+    """The nodes and edges, by kind, of files (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -80,6 +80,11 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                 rows = [(topo, "node", i, a, x, y, None, None) for i, (a, x, y) in enumerate(nodes)] + [(topo, "edge", i, None, None, None, a, b) for i, (a, b) in enumerate(edges)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")]).astype({"i": "Int64", "src": "Int64", "dst": "Int64"})
 
-    both = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, NODES)
+    return files.select("path", "content").mapInPandas(run, NODES)
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (topo, node_id, label, lat, lon) and edges (topo, i, src, dst) of the files; `graph.build` makes links of the latter."""
+    both = parsed(spark.read.format("binaryFile").load(path))
     nodes = both.filter("kind = 'node'").selectExpr("topo", "i AS node_id", "label", "lat", "lon")
     return nodes, both.filter("kind = 'edge'").select("topo", "i", "src", "dst")

@@ -51,9 +51,15 @@ def waxman_pairs(nodes: DataFrame, alpha: float, beta: float) -> DataFrame:
     return both.select("i", "j", (beta * F.exp(-F.col("d") / (alpha * scale))).alias("p"))
 
 
-def uniform(seed: int, *keys) -> Column:
-    """A number in [0, 1) that depends on the seed and the keys alone, at any partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) / float(1 << 52)
+def draw(seed: int, *keys: Column | str) -> Column:
+    """52 bits of the md5 of seed and keys: the same at any partitioning, and in any engine."""
+    text = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *text)), 1, 13), 16, 10).cast("bigint")
+
+
+def uniform(seed: int, *keys: Column | str) -> Column:
+    """A number in [0, 1) that depends on the seed and the keys alone."""
+    return draw(seed, *keys) / float(1 << 52)
 
 
 def waxman(spark: SparkSession, n: int, alpha: float, beta: float, seed: int) -> tuple[DataFrame, DataFrame]:
