@@ -470,7 +470,7 @@ def c04_units(spark, d):
     return S.table(spark, d, "events").select("event_id", scalar.ms_to_ns(F.col("value")).alias("ns"))
 
 
-@query("SELECT event_id, sha256(CAST(user_id AS VARCHAR) || ':' || event_type) AS cache_key, lpad(substr(event_type, 1, 3), 3, ' ') AS body FROM events")
+@query("SELECT event_id, sha256(CAST(user_id AS VARCHAR) || ':' || event_type) AS cache_key, CASE WHEN strlen(event_type) > 3 THEN substr(event_type, 1, 3) || '...' ELSE event_type END AS body FROM events")
 def s17_cache_key(spark, d):
     return S.table(spark, d, "events").select("event_id", scalar.cache_key(F.col("user_id").cast("string"), F.col("event_type")).alias("cache_key"), scalar.truncated(F.col("event_type"), 3).alias("body"))
 

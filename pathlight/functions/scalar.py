@@ -86,7 +86,9 @@ def retry_after_seconds(header: Column) -> Column:
 
 
 def truncated(body: Column, most: int = 200) -> Column:
-    return F.substring(body, 1, most)
+    """The first bytes of a text, marked where they are not all."""
+    raw = body.cast("binary")
+    return F.when(F.octet_length(body) <= most, body).otherwise(F.concat(F.decode(F.substring(raw, 1, most), "UTF-8"), F.lit("...")))
 
 
 def node_label(label: Column, node_id: Column) -> Column:

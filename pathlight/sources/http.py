@@ -40,6 +40,12 @@ def retry_after(header: str | None) -> float:
     return 5.0 if n < 0 else n or 0.1
 
 
+def truncated(body: str, most: int = 200) -> str:
+    """The first bytes of a body, marked where they are not all."""
+    raw = body.encode()
+    return body if len(raw) <= most else raw[:most].decode(errors="ignore") + "..."
+
+
 def get(url: str, fetch: Fetch = plain_fetch, sleep: Callable[[float], None] = time.sleep) -> str:
     """The body; only status 429 is tried again, and errors show the first 200 bytes."""
     for tries in range(MOST_RETRIES + 1):
@@ -48,7 +54,7 @@ def get(url: str, fetch: Fetch = plain_fetch, sleep: Callable[[float], None] = t
             sleep(retry_after({k.lower(): v for k, v in headers.items()}.get("retry-after")))
             continue
         if not 200 <= status < 300:
-            raise HttpError(f"status {status}: {body.encode()[:200].decode(errors='ignore')}")
+            raise HttpError(f"status {status}: {truncated(body)}")
         return body
     raise HttpError("too many requests")
 
