@@ -98,9 +98,10 @@ def link_adjacency(links: DataFrame) -> DataFrame:
 
 
 def link_degrees(links: DataFrame) -> DataFrame:
-    """link_id and degree: how many links each one touches."""
-    n = link_adjacency(links).groupBy(F.col("a").alias("link_id")).agg(F.count("*").cast("bigint").alias("degree"))
-    return links.select("link_id").join(n, "link_id", "left").select("link_id", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
+    """link_id and degree: how many links each one touches. Two links share one end at most, so the degrees of a link's ends say it, without pairs of links."""
+    at = links.select(F.explode(F.array("src", "dst")).alias("_e")).groupBy("_e").agg(F.count("*").alias("_d"))
+    end = lambda s: links.select("link_id", F.col(s).alias("_e")).join(at, "_e").select("link_id", "_d")
+    return end("src").unionByName(end("dst")).groupBy("link_id").agg((F.sum("_d") - 2).cast("bigint").alias("degree"))
 
 
 def laplacian(links: DataFrame) -> DataFrame:

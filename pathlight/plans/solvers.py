@@ -162,30 +162,40 @@ def tikhonov(s: System, lam: float = 0.0, choice: str = "gcv") -> Solution:
 
 
 def nnls(s: System, most: int = 0) -> Solution:
-    """Non-negative least squares by active sets."""
+    """Non-negative least squares by active sets. At full rank, where the answer is unique, it starts from the positive part of the unconstrained one."""
     x, free = np.zeros(s.n), np.zeros(s.n, bool)
     steps, most = 0, most or 3 * s.n
+    tiny = 1e-15
+
+    def settle() -> None:
+        """Least squares over the free links, letting go of those that it would make negative."""
+        nonlocal x, free
+        while free.any():
+            z = np.zeros(s.n)
+            z[free] = np.linalg.lstsq(s.r[:, free], s.q, rcond=None)[0]
+            low = free & (z <= tiny)
+            if not low.any():
+                x = z
+                return
+            gap = x[low] - z[low]
+            x = x + np.min(np.where(gap > 0, x[low] / np.where(gap > 0, gap, 1), 0.0)) * (z - x)
+            free &= x > tiny
+            x[~free] = 0
+
+    if s.n and len(s.r) >= s.n and np.linalg.matrix_rank(s.r) == s.n:
+        start = np.linalg.lstsq(s.r, s.q, rcond=None)[0]
+        free = start > tiny
+        x = np.where(free, start, 0.0)
+        settle()
     while steps < most:
         w = s.r.T @ (s.q - s.r @ x)
         w[free] = -np.inf
         j = int(w.argmax()) if s.n else 0
-        if not s.n or w[j] <= 1e-15 * max(1.0, np.abs(s.q).max(initial=0.0)):
+        if not s.n or w[j] <= tiny * max(1.0, np.abs(s.q).max(initial=0.0)):
             break
         free[j] = True
         steps += 1
-        while True:
-            z = np.zeros(s.n)
-            z[free] = np.linalg.lstsq(s.r[:, free], s.q, rcond=None)[0]
-            low = free & (z <= 1e-15)
-            if not low.any():
-                x = z
-                break
-            gap = x[low] - z[low]
-            x += np.min(np.where(gap > 0, x[low] / np.where(gap > 0, gap, 1), 0.0)) * (z - x)
-            free &= x > 1e-15
-            x[~free] = 0
-            if not free.any():
-                break
+        settle()
     return Solution(x, "nnls", s.residual(x), {"iterations": steps})
 
 
