@@ -110,6 +110,29 @@ def least_rtt(rtts_ns: Column) -> Column:
     return F.coalesce(F.array_min(rtts_ns), F.lit(0).cast("bigint"))
 
 
-def each(measurements: DataFrame) -> Iterator[Row]:
-    """The measurements one at a time, a partition in memory at once."""
-    return measurements.toLocalIterator()
+class Collector:
+    """Measurements one at a time, a partition in memory at once. After `close` there are no more; `error` holds what ended it early."""
+
+    def __init__(self, measurements: DataFrame):
+        self.measurements, self.closed, self.error = measurements, False, None
+
+    def __iter__(self) -> Iterator[Row]:
+        try:
+            for row in self.measurements.toLocalIterator():
+                if self.closed:
+                    return
+                yield row
+        except Exception as e:
+            self.error = e
+            raise
+        finally:
+            self.closed = True
+
+    def close(self) -> None:
+        self.closed = True
+
+    def __enter__(self) -> Collector:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()

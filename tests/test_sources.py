@@ -166,3 +166,15 @@ def test_streaming_windows(spark, tmp_path):
     q = rolling.least_by_window(stream).writeStream.format("memory").queryName("w").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("SELECT count(*) FROM w").collect()[0][0] >= 1
+
+
+def test_collector_closes_and_keeps_errors(spark):
+    rows = spark.range(5)
+    with J.Collector(rows) as c:
+        assert next(iter(c)).id == 0
+    assert c.closed and list(c) == [] and c.error is None
+    assert [r.id for r in J.Collector(rows)] == [0, 1, 2, 3, 4]
+    bad = J.Collector(rows.select(F.raise_error(F.lit("broken")).alias("x")))
+    with pytest.raises(Exception, match="broken"):
+        list(bad)
+    assert "broken" in str(bad.error) and bad.closed
