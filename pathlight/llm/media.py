@@ -8,9 +8,10 @@ from random ones so that they say different things, as LEARN_ON drawn pictures s
 
 - Hamming tables: TABLES draws of KEY_BITS bits of a descriptor are its keys. Corners of two
   images meet where a key is equal; images are candidates where two meetings of different
-  corners agree on a turn and a scale. Images that share a key with more than FEW corners meet one of them first;
-  after that only those that are still in different groups meet, by blocks, and a pair
-  becomes a row only if it shares a second such key.
+  corners agree on a turn and a scale. Meetings by keys of more than FEW corners don't become
+  rows: each image carries its corners with such keys, and they are compared for pairs that
+  have met by a smaller key as well, and for pairs that blocks of a key's images show to meet
+  twice by large keys. So which images are candidates does not depend on FEW.
 - Consensus: a candidate pair's descriptors are compared all with all (MOST_BITS of 256 may
   differ). Two matches fix a scale, a turn and a shift; the images are copies where
   LEAST_VOTES corners agree with one of these.
@@ -329,28 +330,62 @@ def agree(i: np.ndarray, j: np.ndarray) -> bool:
     return bool((same & other(i) & other(j)).any())
 
 
-def candidates(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of images of whose meetings (a, b, i, j) two agree. Few pairs have two at all, so only those are looked at."""
+def large_keys(crowd: DataFrame) -> DataFrame:
+    """(pic, keys, corners, mask): an image's corners with large keys, in the order of keys, and a bit for each key by its hash. crowd: key, pic, k."""
+    rows = F.array_sort(F.collect_list(F.struct("key", "k")))
+    own = crowd.groupBy("pic").agg(rows.alias("_x"), F.bit_or(F.expr("shiftleft(1L, int(pmod(xxhash64(key), 64)))")).alias("mask"))
+    return own.select("pic", F.col("_x.key").alias("keys"), F.col("_x.k").alias("corners"), "mask")
+
+
+def shared_corners(keys: tuple[np.ndarray, np.ndarray], corners: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All meetings (i, j) of two images by keys in ascending order."""
+    low, high = np.searchsorted(keys[1], keys[0]), np.searchsorted(keys[1], keys[0], "right")
+    n = high - low
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    return np.repeat(corners[0], n), corners[1][place]
+
+
+def candidates(met: DataFrame, own: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of images of whose meetings two agree: met (a, b, i, j), and those by large keys of own (pic, keys, corners, mask). more: pairs that may have met by large keys alone. Few pairs have met twice, so only those are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [batch.column(c) for c in ("i", "j")]
-            ends = lists[0].offsets.to_numpy()
-            i, j = (x.flatten().to_numpy() for x in lists)
-            first = ends[0]
-            keep = [b - a > MANY or agree(i[a - first : b - first], j[a - first : b - first]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            keep = []
+            for x in range(batch.num_rows):
+                i, j, *large = (batch.column(c).slice(x, 1).flatten().to_numpy() for c in batch.schema.names[2:])
+                if large and len(i) <= MANY:
+                    p, q = shared_corners((large[0], large[1]), (large[2], large[3]))
+                    i, j = np.concatenate([i, p]), np.concatenate([j, q])
+                keep.append(len(i) > MANY or agree(i, j))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     i, j = F.col("i").bitwiseAND(F.lit(NUMBER)), F.col("j").bitwiseAND(F.lit(NUMBER))
-    twice = materialize(met.groupBy("a", "b").agg(((F.min(i) < F.max(i)) & (F.min(j) < F.max(j))).alias("_two")).filter("_two").select("a", "b"))
+    once = met.groupBy("a", "b").agg(((F.min(i) < F.max(i)) & (F.min(j) < F.max(j))).alias("_two"))
+    if own is None:
+        twice = materialize(once.filter("_two").select("a", "b"))
+    else:
+        once = materialize(once)
+        mask = lambda s: own.select(F.col("pic").alias(s), F.col("mask").alias(f"_{s}"))
+        other = once.filter("NOT _two").join(mask("a"), "a").join(mask("b"), "b").filter("(_a & _b) <> 0").select("a", "b")
+        twice = materialize(once.filter("_two").select("a", "b").unionByName(other).unionByName(more).distinct())
+        discard(once)
     listed = met.join(twice, ["a", "b"]).groupBy("a", "b").agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j"))
+    if own is not None:
+        none = F.array().cast("array<bigint>")
+        side = lambda s: own.select(F.col("pic").alias(s), F.col("keys").alias(f"{s}_keys"), F.col("corners").alias(f"{s}_corners"))
+        every = twice.join(listed, ["a", "b"], "left").join(side("a"), "a", "left").join(side("b"), "b", "left")
+        listed = every.select("a", "b", *[F.coalesce(c, none).alias(c) for c in ("i", "j", "a_keys", "b_keys", "a_corners", "b_corners")])
     out = materialize(listed.mapInArrow(trimmed(run), "a bigint, b bigint"))
     discard(twice)
     return out
 
 
+#: Marks a key that an image has twice.
+AGAIN = 1 << 60
+
+
 class Crowd(Cell):
-    """Two blocks of images that share a key, of which pairs of different groups that share a second one are candidates."""
+    """Two blocks of images that share a key, of which pairs that share a second one, or this one by two corners each, may be candidates."""
 
     def links(self) -> pa.RecordBatch:
         self.count()
@@ -360,11 +395,13 @@ class Crowd(Cell):
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
 
 
-def crowded(rows: DataFrame, crowds: DataFrame) -> DataFrame:
-    """Candidates (a, b) among images of different groups that share a large key, by blocks: no pair becomes a row before it has met twice. rows: key, pic, root; crowds: key, _size."""
-    count = crowds.select(F.col("key").alias("hub"), F.ceil(F.col("_size") / IN_BLOCK).cast("int").alias("_k"))
-    placed = rows.select(F.col("key").alias("hub"), F.col("pic").alias("sid"), "root").distinct().join(count, "hub").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("_k")).cast("int"))
-    own = rows.join(crowds.select("key"), "key", "left_semi").groupBy(F.col("pic").alias("sid")).agg(F.collect_set("key").alias("hashes"))
+def crowded(crowd: DataFrame) -> DataFrame:
+    """Pairs (a, b) of images that meet twice by large keys, by blocks: no pair becomes a row before it has met twice. crowd: key, pic, k."""
+    rows = crowd.groupBy("key", "pic").agg((F.count("*") > 1).alias("_twice"))
+    count = rows.groupBy("key").agg(F.count("*").alias("_size")).filter("_size > 1").select(F.col("key").alias("hub"), F.ceil(F.col("_size") / IN_BLOCK).cast("int").alias("_k"))
+    placed = rows.select(F.col("key").alias("hub"), F.col("pic").alias("sid"), F.col("pic").alias("root")).join(count, "hub").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("_k")).cast("int"))
+    marked = F.explode(F.when(F.col("_twice"), F.array(F.col("key"), F.col("key") + F.lit(AGAIN))).otherwise(F.array("key")))
+    own = rows.select(F.col("pic").alias("sid"), marked.alias("key")).groupBy("sid").agg(F.collect_list("key").alias("hashes"))
     return by_blocks(placed.withColumn("n", F.lit(0)), own.withColumn("part", F.lit(0)), Crowd)
 
 
@@ -422,25 +459,23 @@ def verified(pairs: DataFrame, pics: DataFrame) -> DataFrame:
 
 
 def links(pics: DataFrame) -> DataFrame:
-    """a, b and votes of images (by pic) that are copies. Images that share a large key meet its hub first, and others only if that left them in other groups."""
+    """a, b and votes of all images (by pic) that are copies."""
     tables = [materialize(met(keys(pics, t)).withColumn("key", F.col("key") + F.lit(t << KEY_BITS))) for t in range(TABLES)]
     rows = tables[0]
     for t in tables[1:]:
         rows = rows.unionByName(t)
-    near = candidates(rows.filter("a <> b").select("a", "b", "i", "j"))
-    crowds = materialize(rows.filter("key IS NOT NULL").select("key", F.col("b").alias("pic")).distinct())
-    discard(*tables)
-    first = materialize(verified(near, pics))
-    if not crowds.isEmpty():
-        named = rooted(crowds, components(first.select("a", "b")), "pic", "root")
-        size = named.groupBy("key").agg(F.count("*").alias("_size"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key", "_size")
-        more = materialize(crowded(named, size).join(near, ["a", "b"], "left_anti"))
-        second = materialize(verified(more, pics))
-        both = materialize(first.unionByName(second))
-        discard(first, second, more)
-        first = both
-    discard(near, crowds)
-    return first
+    crowd = materialize(rows.filter("key IS NOT NULL").select("key", F.col("b").alias("pic"), F.col("j").alias("k")))
+    few = rows.filter("key IS NULL").select("a", "b", "i", "j")
+    if crowd.isEmpty():
+        near = candidates(few)
+    else:
+        own, more = materialize(large_keys(crowd)), materialize(crowded(crowd))
+        near = candidates(few, own, more)
+        discard(own, more)
+    discard(crowd, *tables)
+    found = materialize(verified(near, pics))
+    discard(near)
+    return found
 
 
 def groups(images: DataFrame, key: str = "id", image: str = "image") -> DataFrame:

@@ -144,3 +144,35 @@ def test_copies_of_no_images(spark):
     docs = spark.createDataFrame([(1, flat, "x"), (2, flat, "x"), (3, bytearray(b"zz"), "x"), (None, None, "x")], "id long, image binary, digest string")
     got = sorted(((r.id or 0), r.group_id, r.n_corners) for r in media.groups(docs).collect())
     assert got == [(0, None, 0), (1, 1, 0), (2, 1, 0), (3, 3, 0)]
+
+
+def test_candidates_do_not_depend_on_large_keys(spark, monkeypatch):
+    """Pairs that meet once by a large key and once by a small one, twice by large keys, or twice by one."""
+    images = [media.draw(k) for k in range(4)]
+    images += [media.edited(images[k % 4], k) for k in range(12)]
+    raw = [media.described_stack(x[None], media.pattern()) for x in images]
+    rows = [(k, len(c), bytearray(media.packed_places(p)), bytearray(c.tobytes())) for k, (_, p, c) in enumerate(raw)]
+    pics = spark.createDataFrame(rows, "pic long, n_corners long, places binary, codes binary").repartition(3).persist()
+    met = {}
+    number = [media.unpacked_places(media.packed_places(p)) for _, p, _ in raw]
+    turned = [(np.round(p[:, 2] * 128 / np.pi).astype(np.int64) & 255) for p in number]
+    level = [np.round(np.log2(p[:, 3]) * media.PER_OCTAVE).astype(np.int64) + 128 for p in number]
+    for a, b, i, j in meetings(images):
+        met.setdefault((a, b), []).append((i + (int(turned[a][i]) << 32) + (int(level[a][i]) << 40), j + (int(turned[b][j]) << 32) + (int(level[b][j]) << 40)))
+    for pair in list(met):
+        i, j = (np.array(x) for x in zip(*met[pair], strict=True))
+        if not media.agree(i, j):
+            del met[pair]
+    place, code = zip(*[(media.unpacked_places(media.packed_places(p)), c.view(np.uint64)) for _, p, c in raw], strict=True)
+    want = {(a, b) for a, b in met if media.agreed((place[a], place[b]), (code[a], code[b])) >= media.LEAST_VOTES}
+    assert len(want) > 20
+    for few in (32, 2, 1):
+        monkeypatch.setattr(media, "FEW", few)
+        found = media.links(pics).collect()
+        assert len(found) == len(want) and {(r.a, r.b) for r in found} == want, few
+
+
+def test_links_of_many_near_copies(spark):
+    images = [(media.draw(3) * 0.7).astype(np.uint8) + np.uint8(k) for k in range(media.FEW + 6)]
+    docs = spark.createDataFrame([(k, bytearray(media.pack(x))) for k, x in enumerate(images)], "id long, image binary")
+    assert {(r.id, r.n_links, r.group_id) for r in media.groups(docs).collect()} == {(k, len(images) - 1, 0) for k in range(len(images))}
