@@ -33,7 +33,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,8 @@ FEW = 32
 MOST_BITS, LEAST_VOTES = 50, 8
 #: Pixels by which a vote may miss, radians by which a corner's own turn may, and steps between matches that hypotheses come from.
 MISS, SLACK, STEPS = 3.0, 0.6, (1, 2, 3, 5, 8, 13, 21, 34)
+#: Shares of the images that candidates are verified by, one beside another.
+SHARES = 3
 #: Pixels of images that are described together, and corners compared with all others at once.
 AT_ONCE, ROWS_AT_ONCE = 1 << 20, 256
 
@@ -454,8 +456,17 @@ def verified(pairs: DataFrame, pics: DataFrame) -> DataFrame:
                     votes.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(votes, pa.int64())], ["a", "b", "votes"])
 
-    side = lambda s: pics.select(F.col("pic").alias(s), F.col("places").alias(f"{s}_places"), F.col("codes").alias(f"{s}_codes"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(trimmed(run), "a bigint, b bigint, votes bigint")
+    def side(s: str, share: int) -> DataFrame:
+        return pics.filter(of("pic") == share).select(F.col("pic").alias(s), F.col("places").alias(f"{s}_places"), F.col("codes").alias(f"{s}_codes"))
+
+    # a share of the images beside another: each step's shuffle files are small and go with its end
+    of = lambda column: F.pmod(F.xxhash64(column), F.lit(SHARES))
+    steps = []
+    for x in range(SHARES):
+        for y in range(SHARES):
+            own = pairs.filter((of("a") == x) & (of("b") == y))
+            steps.append(materialize(own.join(side("a", x), "a").join(side("b", y), "b").mapInArrow(trimmed(run), "a bigint, b bigint, votes bigint")))
+    return reduce(DataFrame.unionByName, steps)
 
 
 def links(pics: DataFrame) -> DataFrame:
@@ -473,7 +484,7 @@ def links(pics: DataFrame) -> DataFrame:
         near = candidates(few, own, more)
         discard(own, more)
     discard(crowd, *tables)
-    found = materialize(verified(near, pics))
+    found = verified(near, pics)
     discard(near)
     return found
 
