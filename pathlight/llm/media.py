@@ -59,8 +59,8 @@ MOST_BITS, LEAST_VOTES = 50, 8
 MISS, SLACK, STEPS = 3.0, 0.6, (1, 2, 3, 5, 8, 13, 21, 34)
 #: Shares of the images that candidates are verified by, one beside another.
 SHARES = 3
-#: Pixels of images that are described together, and corners compared with all others at once.
-AT_ONCE, ROWS_AT_ONCE = 1 << 20, 256
+#: Pixels of images that are described together, hypotheses tried and corners compared with all others at once, and pairs whose meetings are.
+AT_ONCE, ROWS_AT_ONCE, CORNERS_AT_ONCE, PAIRS_AT_ONCE = 1 << 20, 256, 64, 4096
 
 
 def _random_tests() -> np.ndarray:
@@ -317,19 +317,34 @@ def met(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "pic", "k").mapInArrow(trimmed(run), MET)
 
 
-#: The corner's number in k.
+#: The corner's number in k, and the bits that keys of all tables take.
 NUMBER = (1 << 32) - 1
+KEY_SPACE = KEY_BITS + (TABLES - 1).bit_length()
 #: Steps of a turn, and levels, by which two meetings that agree may differ; so many meetings that they need not be asked.
 TURN_STEPS, LEVELS, MANY = 26, 2, 64
 
 
 def agree(i: np.ndarray, j: np.ndarray) -> bool:
     """Whether two meetings of different corners agree on a turn and a scale."""
+    return bool(agreeing(np.zeros(len(i), np.int64), i, j, 1)[0])
+
+
+def agreeing(row: np.ndarray, i: np.ndarray, j: np.ndarray, rows: int) -> np.ndarray:
+    """For each of `rows` pairs of images whether two of its meetings agree. row: whose meeting it is, ascending."""
     turn, scale = ((j >> 32) - (i >> 32)) & 255, (j >> 40) - (i >> 40)
-    apart = (turn[:, None] - turn[None]) & 255
-    same = (np.minimum(apart, 256 - apart) <= TURN_STEPS) & (np.abs(scale[:, None] - scale[None]) <= LEVELS)
-    other = lambda x: (x[:, None] & NUMBER) != (x[None] & NUMBER)
-    return bool((same & other(i) & other(j)).any())
+    out = np.zeros(rows, bool)
+    x, step = np.arange(len(row)), 0
+    while len(x):
+        step += 1
+        x = x[x + step < len(row)]
+        x = x[row[x] == row[x + step]]
+        x = x[~out[row[x]]]
+        y = x + step
+        apart = (turn[x] - turn[y]) & 255
+        same = (np.minimum(apart, 256 - apart) <= TURN_STEPS) & (np.abs(scale[x] - scale[y]) <= LEVELS)
+        other = (((i[x] ^ i[y]) & NUMBER) != 0) & (((j[x] ^ j[y]) & NUMBER) != 0)
+        out[row[x[same & other]]] = True
+    return out
 
 
 def large_keys(crowd: DataFrame) -> DataFrame:
@@ -339,27 +354,40 @@ def large_keys(crowd: DataFrame) -> DataFrame:
     return own.select("pic", F.col("_x.key").alias("keys"), F.col("_x.k").alias("corners"), "mask")
 
 
-def shared_corners(keys: tuple[np.ndarray, np.ndarray], corners: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All meetings (i, j) of two images by keys in ascending order."""
-    low, high = np.searchsorted(keys[1], keys[0]), np.searchsorted(keys[1], keys[0], "right")
-    n = high - low
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    return np.repeat(corners[0], n), corners[1][place]
+def shared_corners(rows: tuple[np.ndarray, np.ndarray], keys: tuple[np.ndarray, np.ndarray], corners: tuple[np.ndarray, np.ndarray], total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All meetings (row, i, j) by keys that ascend within a row, of the two images of each row. total counts the meetings of each row, and gets these; rows of more than MANY are only counted."""
+    a, b = ((r << KEY_SPACE) + k for r, k in zip(rows, keys, strict=True))
+    low, high = np.searchsorted(b, a), np.searchsorted(b, a, "right")
+    np.add.at(total, rows[0], high - low)
+    x = np.flatnonzero((high > low) & (total[rows[0]] <= MANY))
+    n = (high - low)[x]
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[x], n)
+    return np.repeat(rows[0][x], n), np.repeat(corners[0][x], n), corners[1][place]
+
+
+def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each element, and the elements of a column of arrays without nulls."""
+    n = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(n)), n), column.flatten().to_numpy()
 
 
 def candidates(met: DataFrame, own: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of images of whose meetings two agree: met (a, b, i, j), and those by large keys of own (pic, keys, corners, mask). more: pairs that may have met by large keys alone. Few pairs have met twice, so only those are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x in range(batch.num_rows):
-                i, j, *large = (batch.column(c).slice(x, 1).flatten().to_numpy() for c in batch.schema.names[2:])
-                if large and len(i) <= MANY:
-                    p, q = shared_corners((large[0], large[1]), (large[2], large[3]))
-                    i, j = np.concatenate([i, p]), np.concatenate([j, q])
-                keep.append(len(i) > MANY or agree(i, j))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS_AT_ONCE):
+                batch = whole.slice(at, PAIRS_AT_ONCE)
+                (row, i), (_, j), *large = (lists(batch.column(c)) for c in batch.schema.names[2:])
+                total = np.bincount(row, minlength=batch.num_rows)
+                if large:
+                    rows, values = zip(*large, strict=True)
+                    others = shared_corners(rows[:2], values[:2], values[2:], total)
+                    row, i, j = (np.concatenate(x) for x in zip((row, i, j), others, strict=True))
+                order = np.argsort(row, kind="stable")
+                order = order[total[row[order]] <= MANY]
+                keep = (total > MANY) | agreeing(row[order], i[order], j[order], batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     i, j = F.col("i").bitwiseAND(F.lit(NUMBER)), F.col("j").bitwiseAND(F.lit(NUMBER))
     once = met.groupBy("a", "b").agg(((F.min(i) < F.max(i)) & (F.min(j) < F.max(j))).alias("_two"))
@@ -407,33 +435,48 @@ def crowded(crowd: DataFrame) -> DataFrame:
     return by_blocks(placed.withColumn("n", F.lit(0)), own.withColumn("part", F.lit(0)), Crowd)
 
 
+def nearest(code: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each descriptor of the first image the nearest one of the second (the first of equals), and the bits that it is apart; beyond 62 either may miss by a bit."""
+    words = np.ascontiguousarray(code[1].T)
+    near, best = [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
+    for at in range(0, len(code[0]) if len(code[1]) else 0, CORNERS_AT_ONCE):
+        own = code[0][at : at + CORNERS_AT_ONCE]
+        apart = np.minimum(np.bitwise_count(own[:, 0, None] ^ words[0]), 63)  # so that a byte holds the sum
+        for w in range(1, len(words)):
+            apart += np.bitwise_count(own[:, w, None] ^ words[w])
+        near.append(apart.argmin(1))
+        best.append(apart[np.arange(len(own)), near[-1]])
+    return np.concatenate(near), np.concatenate(best)
+
+
 def agreed(place: tuple[np.ndarray, np.ndarray], code: tuple[np.ndarray, np.ndarray]) -> int:
     """How many corners of two images agree on one scale, turn and shift. place: x, y, angle, scale; code: descriptors as 64-bit words."""
-    best, near = [], []
-    for at in range(0, len(code[0]), ROWS_AT_ONCE):
-        apart = np.bitwise_count(code[0][at : at + ROWS_AT_ONCE, None, :] ^ code[1][None]).sum(2, dtype=np.int32)
-        near.append(apart.argmin(1))
-        best.append(apart.min(1))
-    i = np.flatnonzero(np.concatenate(best) <= MOST_BITS) if best else np.empty(0, np.int64)
+    near, best = nearest(code)
+    i = np.flatnonzero(best <= MOST_BITS)
     if len(i) < LEAST_VOTES:
         return 0
-    j = np.concatenate(near)[i]
+    j = near[i]
     a, b = place[0][i], place[1][j]
     p, q, turn, grow = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1], b[:, 2] - a[:, 2], b[:, 3] / a[:, 3]
     n = len(i)
     u, v = np.concatenate([np.stack([np.arange(n), (np.arange(n) + s) % n]) for s in (STEPS if n > 64 else range(1, n // 2 + 1))], 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        m = (q[v] - q[u]) / (p[v] - p[u])
-        off = lambda x: np.abs(np.angle(np.exp(1j * x)))
-        ok = (np.abs(p[v] - p[u]) >= 2 * MISS) & (np.abs(q[v] - q[u]) >= MISS) & (off(turn[u] - np.angle(m)) < SLACK) & (off(turn[v] - np.angle(m)) < SLACK) & (np.abs(np.log(np.abs(m) / grow[u])) < SLACK)
-    u, m = u[ok], m[ok]
+    dp, dq = p[v] - p[u], q[v] - q[u]
+    far = (np.abs(dp) >= 2 * MISS) & (np.abs(dq) >= MISS)
+    u, v, m = u[far], v[far], dq[far] / dp[far]
+    # an angle of less than SLACK is a cosine of more than its own
+    way, unit = np.exp(1j * turn), m / np.abs(m)
+    near_turn = lambda x, y: (x.real * y.real + x.imag * y.imag) > np.cos(SLACK)
+    ok = near_turn(way[u], unit) & near_turn(way[v], unit)
+    ok[ok] = np.abs(np.log(np.abs(m[ok]) / grow[u[ok]])) < SLACK
+    u, m, unit = u[ok], m[ok], unit[ok]
     if not len(u):
         return 0
     votes = 0
     for at in range(0, len(u), ROWS_AT_ONCE):
-        z = m[at : at + ROWS_AT_ONCE, None]
-        miss = np.abs(q[None] - q[u[at : at + ROWS_AT_ONCE], None] - z * (p[None] - p[u[at : at + ROWS_AT_ONCE], None]))
-        hit = (miss <= MISS * np.maximum(1, np.abs(z))) & (off(turn[None] - np.angle(z)) < SLACK)
+        own, z = u[at : at + ROWS_AT_ONCE], m[at : at + ROWS_AT_ONCE, None]
+        miss = (q - z * p) - (q[own] - z[:, 0] * p[own])[:, None]
+        most = MISS * np.maximum(1, np.abs(z))
+        hit = (miss.real**2 + miss.imag**2 <= most**2) & near_turn(way, unit[at : at + ROWS_AT_ONCE, None])
         top = hit[hit.sum(1).argmax()]
         # one place of an image votes once, though several levels may see it
         places = lambda x: len(np.unique(np.round(x[top] / (2 * MISS))))

@@ -88,6 +88,50 @@ def test_meetings_that_agree():
     assert not media.agree(i[:1], i[:1])
 
 
+def plainly_agree(i, j):
+    """Whether two meetings of different corners agree, pair by pair."""
+    turn, scale = (j >> 32) - (i >> 32) & 255, (j >> 40) - (i >> 40)
+    for x in range(len(i)):
+        for y in range(x):
+            apart = int(turn[x] - turn[y]) & 255
+            differ = all(int(c[x]) & media.NUMBER != int(c[y]) & media.NUMBER for c in (i, j))
+            if differ and min(apart, 256 - apart) <= media.TURN_STEPS and abs(scale[x] - scale[y]) <= media.LEVELS:
+                return True
+    return False
+
+
+def test_meetings_of_many_pairs_at_once():
+    rng = np.random.default_rng(2)
+    n = rng.integers(0, 5, 400)
+    row = np.repeat(np.arange(400), n)
+    i, j = (rng.integers(0, 4, len(row)) + (rng.integers(0, 256, len(row)) << 32) + (rng.integers(120, 130, len(row)) << 40) for _ in range(2))
+    got = media.agreeing(row, i, j, 400)
+    assert got.tolist() == [plainly_agree(i[row == r], j[row == r]) for r in range(400)] and 20 < got.sum() < 380
+    # corners of a pair's images meet where they share a key; pairs that meet very often are only counted
+    keys = [[np.sort(rng.integers(0, 6, k)) for k in rng.integers(0, 9, 50)] for _ in range(2)]
+    keys[0][7] = keys[1][7] = np.zeros(media.MANY, np.int64)
+    rows = tuple(np.repeat(np.arange(50), [len(k) for k in side]) for side in keys)
+    flat = tuple(np.concatenate(side) for side in keys)
+    total = np.zeros(50, np.int64)
+    found = media.shared_corners(rows, flat, tuple(np.arange(len(k)) for k in flat), total)
+    want = [(r, x, y) for x, r in enumerate(rows[0]) for y, s in enumerate(rows[1]) if r == s and flat[0][x] == flat[1][y]]
+    assert np.bincount([r for r, _, _ in want], minlength=50).tolist() == total.tolist() and total[7] == media.MANY**2
+    assert sorted(zip(*(x.tolist() for x in found), strict=True)) == sorted((int(r), x, y) for r, x, y in want if r != 7)
+
+
+def test_nearest_descriptors_against_all_bits():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 256, (150, 32), np.uint8), rng.integers(0, 256, (90, 32), np.uint8)
+    b[:40] = a[:40] ^ (1 << rng.integers(0, 8, (40, 32)) * (rng.random((40, 32)) < 0.5)).astype(np.uint8)
+    b[50] = ~a[50]
+    apart = np.unpackbits(a[:, None] ^ b[None], axis=2).sum(2)
+    near, best = media.nearest((a.view(np.uint64), b.view(np.uint64)))
+    assert near.tolist() == apart.argmin(1).tolist() and best.tolist() == apart.min(1).tolist()
+    opposite = media.nearest((a[:1].view(np.uint64), (~a[:1]).view(np.uint64)))
+    assert opposite[0].tolist() == [0] and opposite[1][0] > media.MOST_BITS
+    assert len(media.nearest((a.view(np.uint64), b[:0].view(np.uint64)))[0]) == 0 == len(media.nearest((a[:0].view(np.uint64), b.view(np.uint64)))[0])
+
+
 def test_consensus_wants_one_scale_turn_and_shift():
     place, code = words(media.draw(11))
     rng = np.random.default_rng(0)
