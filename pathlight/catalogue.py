@@ -314,6 +314,9 @@ def g04_shortest_path(spark, d):
 
 ORACLE_SQL["g05_apsp"] = f"{BFS_SQL} SELECT src, dst, CAST(h AS BIGINT) AS hops, array_to_string(path, ',') AS path FROM best WHERE k = 1 AND src < dst"
 ORACLE_SQL["g04_shortest_path"] = f"{BFS_SQL} SELECT src, dst, CAST(h AS BIGINT) AS hops, array_to_string(path, ',') AS path FROM best WHERE k = 1 AND src = 1"
+# both run over all links, and go by their earlier names as well
+for _name in ("g04_shortest_path", "g05_apsp"):
+    QUERIES[f"{_name}_all_links"], ORACLE_SQL[f"{_name}_all_links"] = QUERIES[_name], ORACLE_SQL[_name]
 
 KM_SQL = "2 * 6371.0::DOUBLE * atan2(sqrt(h), sqrt(1 - h))"
 HAV_SQL = "pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)"
